@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import wavelet
+from quillspark.llm import transducer, wavelet
 from quillspark.session import load, ready
 
 
@@ -20,8 +20,13 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(load(ready(spark), sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.token_counts(load(ready(spark), sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
+    "op2_token_counts": op2_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
