@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import transducer, wavelet
+from quillspark.llm import packing, positional, transducer, wavelet
 from quillspark.session import load, ready
 
 
@@ -24,9 +24,48 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(load(ready(spark), sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positional.contamination(load(ready(spark), sf_dir, "documents"), load(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(ready(spark), sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_token_counts": op2_token_counts,
+    "op4_decontamination": op4_decontamination,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOWERED = f"translate(text, '{UPPER}', '{UPPER.lower()}')"
+
+OP4_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS ws FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL
+), iw AS (
+  SELECT DISTINCT item, n, array_to_string(ws[s:s + n - 1], ' ') AS win
+  FROM (SELECT item, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS s FROM i WHERE len(ws) > 0)
+), dw AS (
+  SELECT doc_id, s, n, array_to_string(ws[s:s + n - 1], ' ') AS win
+  FROM (SELECT doc_id, ws, n, unnest(range(1, greatest(len(ws) - n + 2, 1))) AS s FROM d, (SELECT DISTINCT n FROM iw))
+), m AS (
+  SELECT doc_id, s, n, item FROM dw JOIN iw USING (n, win)
+), h AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": OP4_SQL,
+}
