@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import packing, positional, transducer, wavelet
+from quillspark.llm import neardup, packing, positional, transducer, wavelet
 from quillspark.session import load, ready
 
 
@@ -33,11 +33,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(ready(spark), sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(load(ready(spark), sf_dir, "documents"), width=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_token_counts": op2_token_counts,
     "op4_decontamination": op4_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -66,6 +71,32 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+OP8_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 2 THEN array_to_string(ws, ' ') ELSE ws[k] || ' ' || ws[k + 1] END AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS k FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 80 * (a.n + b.n - shared)
+), e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+  SELECT doc_id AS v, doc_id AS c FROM documents
+  UNION
+  SELECT e.y, r.c FROM r JOIN e ON e.x = r.v
+), m AS (
+  SELECT v AS doc_id, min(c) AS component_id FROM r GROUP BY v
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": OP4_SQL,
+    "op8_minhash_near_dedup": OP8_SQL,
 }
