@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import neardup, packing, positional, transducer, wavelet
+from quillspark.llm import neardup, packing, passages, positional, transducer, wavelet
 from quillspark.session import load, ready
 
 
@@ -37,12 +37,17 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(load(ready(spark), sf_dir, "documents"), width=2, percent=80)
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(load(ready(spark), sf_dir, "documents"), width=5, min_words=50, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_token_counts": op2_token_counts,
     "op4_decontamination": op4_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_repeated_passages": op10_repeated_passages,
 }
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
