@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import neardup, packing, passages, positional, transducer, wavelet
+from quillspark.llm import chat, neardup, packing, passages, positional, quality, transducer, wavelet
 from quillspark.session import load, ready
 
 
@@ -33,10 +33,22 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(ready(spark), sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op7_chat_prefix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(ready(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_conversations(chat.prefix_trees(rows.unionByName(own)))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(load(ready(spark), sf_dir, "documents"), width=2, percent=80)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality(load(ready(spark), sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(load(ready(spark), sf_dir, "documents"), width=5, min_words=50, percent=80)
 
@@ -46,7 +58,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_decontamination": op4_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_chat_prefix_trees": op7_chat_prefix_trees,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_repeated_passages": op10_repeated_passages,
 }
 
@@ -76,6 +90,24 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+OP7_SQL = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, t, r, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)
+), t AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+         length('### ') + length(role) + length(': ') + length(text) + length('</turn>') + 1
+         + length(text) - length(replace(text, chr(92), ''))
+         + (length(text) - length(replace(text, '</turn>', ''))) // 7
+         + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0) AS size
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
 OP8_SQL = f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, coalesce(regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents
@@ -103,5 +135,6 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": OP4_SQL,
+    "op7_chat_prefix_trees": OP7_SQL,
     "op8_minhash_near_dedup": OP8_SQL,
 }
