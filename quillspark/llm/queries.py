@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import chat, neardup, packing, passages, positional, quality, transducer, wavelet
+from quillspark.llm import chat, licenses, neardup, packing, passages, positional, quality, transducer, urls, wavelet
 from quillspark.session import load, ready
 
 
@@ -24,11 +24,23 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(load(ready(spark), sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(ready(spark), sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = positional.contamination(load(ready(spark), sf_dir, "documents"), load(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+#: The rules of the query's contract.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(load(ready(spark), sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(ready(spark), sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -56,7 +68,9 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_token_counts": op2_token_counts,
+    "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
+    "op5_url_filter": op5_url_filter,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_chat_prefix_trees": op7_chat_prefix_trees,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
@@ -67,6 +81,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWERED = f"translate(text, '{UPPER}', '{UPPER.lower()}')"
 
+def _op3_sql() -> str:
+    word = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+    bigrams = "list_distinct(list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1]))"
+    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.TEMPLATES)
+    return f"""
+WITH t AS (
+  SELECT name, {bigrams} AS g FROM (SELECT name, regexp_extract_all({LOWERED}, {word}) AS ws FROM (VALUES {rows}) AS v(name, text))
+), u AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents
+  UNION ALL SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) FROM documents
+  UNION ALL SELECT doc_id, text FROM documents
+), g AS (
+  SELECT doc_id, {bigrams} AS g FROM (SELECT doc_id, regexp_extract_all({LOWERED}, {word}) AS ws FROM u WHERE text IS NOT NULL) WHERE len(ws) > 1
+), m AS (
+  SELECT doc_id, name, len(list_intersect(g.g, t.g)) AS shared, len(g.g) + len(t.g) AS sizes
+  FROM g JOIN t ON 115 * least(len(g.g), len(t.g)) >= 85 * greatest(len(g.g), len(t.g))
+  WHERE 200 * len(list_intersect(g.g, t.g)) >= 85 * (len(g.g) + len(t.g))
+), b AS (
+  SELECT doc_id, name, max(2.0 * shared / sizes) AS dice FROM m GROUP BY doc_id, name
+), f AS (
+  SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses, first(name ORDER BY dice DESC, name) AS best_license, max(dice) AS best_dice FROM b GROUP BY doc_id
+)
+SELECT doc_id, coalesce(licenses, '') AS licenses, best_license, CAST(best_dice AS DOUBLE) AS best_dice FROM documents LEFT JOIN f USING (doc_id)
+"""
+
+
 OP4_SQL = f"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS ws FROM documents
@@ -134,6 +174,7 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": _op3_sql(),
     "op4_decontamination": OP4_SQL,
     "op7_chat_prefix_trees": OP7_SQL,
     "op8_minhash_near_dedup": OP8_SQL,
