@@ -125,9 +125,10 @@ def join_semi(spark, d):
     return load(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@register("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@register("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 def join_anti(spark, d):
-    return load(spark, d, "customer").join(load(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    o = load(spark, d, "orders").where("o_totalprice > 200000")
+    return load(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @register("""SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -211,7 +212,7 @@ def version_gc(spark, d):
     return _versions(spark, d).gc(500).select("k", "seqno")
 
 
-@register("SELECT event_id FROM events WHERE user_id % 7 = 0 OR event_id % 100 >= 50")
+@register("SELECT event_id FROM events WHERE user_id % 7 = 0 OR event_id % 100 >= 50 OR event_id % 100 = 0")
 def ttl_filter(spark, d):
     e = load(spark, d, "events").select("event_id", F.when(F.col("user_id") % 7 == 0, 0).otherwise(F.col("event_id") % 100).alias("ttl"))
     return e.where(versioned.live(F.col("ttl"), 50)).select("event_id")
