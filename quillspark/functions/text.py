@@ -30,10 +30,12 @@ def analyzed(text: Column, lower: bool = True, stop: tuple[str, ...] = STOP_WORD
 
 def char_ngrams(text: Column, low: int, high: int) -> Column:
     """All runs of low to high characters, shorter first."""
-    parts = []
-    for n in range(low, high + 1):
+    def of(n: int) -> Column:
         last = F.length(text) - n + 1
-        parts.append(F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i, n=n: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+        return F.when(last >= 1, runs).otherwise(F.array().cast("array<string>"))
+
+    parts = [of(n) for n in range(low, high + 1)]
     return F.concat(*parts)
 
 
