@@ -9,8 +9,11 @@ many unrelated texts hold.
 
 Links inside a list are found without all pairs.  First every member is compared with the list's
 pivot, the member whose values are most common in the corpus.  Pairs pass a size bound and an estimate from
-the sketch of the union and are then verified on their full sets.  After the components of these links, only
-pairs of a list in different components are left, and all of these are compared; so components are those of all links.
+the sketch of the union and are then verified on their full sets.  After the components of these links only
+members in other components than their pivot (strays) are open.  They are compared with all
+members of other components: pair by pair in small families, in larger ones block against block, on sketches first.  A
+cell of two blocks gives its likely pairs, or, where there are many, its documents for a comparison on full sets of which only a
+spanning forest of the links leaves the task.  So components are those of all links.
 """
 
 from __future__ import annotations
@@ -26,9 +29,12 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.bytesnp import NOT_BLANK, blocks, lower_ascii, shingle_hashes, span_hashes, text_buffer, words
 from quillspark.llm.components import components
-from quillspark.session import ready, written
+from quillspark.session import ready, release, written
 
 SKETCH = 32
+#: Up to so many pairs of a pivot's strays and members go one by one; beyond that they meet in blocks of so many documents.
+PAIRS = 256
+BLOCK_MEMBERS = 512
 
 
 def least_shared(k: int, percent: int) -> int:
@@ -112,6 +118,99 @@ def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, width: int,
     return written(full.mapInArrow(compare, "x long, y long"), "links")
 
 
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """|intersection| of each set on the left with each on the right, through the values that both sides hold."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not left or not right:
+        return out
+    rows, cols = (np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (left, right))
+    a, b = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(np.unique(a), np.unique(b), assume_unique=True)
+    for at in range(0, len(common), 2048):
+        part = common[at : at + 2048]
+        grids = []
+        for values, owner, n in ((a, rows, len(left)), (b, cols, len(right))):
+            place = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[place] == values
+            grid = np.zeros((n, len(part)), np.float32)
+            grid[owner[hit], place[hit]] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out
+
+
+CELL = ("pivot", "i", "j")
+CELL_SCHEMA = "pivot long, i int, j int, side boolean, id long, comp long, x long, y long"
+
+
+def blocks_of(family: DataFrame, block: int) -> DataFrame:
+    """Deals a family (pivot, id, comp, stray, m members, s strays) into cells: every block of strays (side) meets every block of members."""
+    ns, nm = (F.ceil(F.col(c) / block).cast("int") for c in ("s", "m"))
+    rows = family.select("pivot", "id", "comp", "stray", ns.alias("ns"), nm.alias("nm"))
+    own = F.pmod(F.xxhash64("id"), F.col("nm")).cast("int")
+    members = rows.select("pivot", "id", "comp", F.lit(False).alias("side"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("i"), own.alias("j"))
+    strays = rows.where("stray").select("pivot", "id", "comp", F.lit(True).alias("side"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("ns")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("j"))
+    return members.unionByName(strays).select(*CELL, "side", "id", "comp")
+
+
+def sifted(cells: DataFrame, heads: DataFrame, least: int) -> DataFrame:
+    """Pairs (x, y) of different components in a cell whose sketches share enough values; where these are more than a few per document,
+    the cell's documents that have such a partner instead. So what leaves a cell is in proportion to its documents."""
+
+    def sift(table: pa.Table) -> pa.Table:
+        side, ids, comps = (np.asarray(table.column(c)) for c in ("side", "id", "comp"))
+        sets = [np.asarray(x.values) for x in table.column("sketch").combine_chunks()]
+        s, m = np.flatnonzero(side), np.flatnonzero(~side)
+        shared = _shared_counts([sets[i] for i in s], [sets[i] for i in m])
+        size = np.array([len(x) for x in sets])
+        enough = np.minimum(least, np.minimum(size[s][:, None], size[m][None, :]) // 2 + 1)
+        good = (shared >= enough) & (comps[s][:, None] != comps[m][None, :])
+        x, y = np.nonzero(good)
+        if len(x) <= 4 * len(ids):
+            keep = ids[s[x]] != ids[m[y]]
+            low, high = np.minimum(ids[s[x]], ids[m[y]])[keep], np.maximum(ids[s[x]], ids[m[y]])[keep]
+            n = len(low)
+            return pa.table({**{c: pa.nulls(n, t) for c, t in (("pivot", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.bool_()), ("id", pa.int64()), ("comp", pa.int64()))}, "x": pa.array(low), "y": pa.array(high)})
+        rows = np.concatenate([s[good.any(1)], m[good.any(0)]])
+        out = table.select([*CELL, "side", "id", "comp"]).take(pa.array(rows))
+        return out.append_column("x", pa.nulls(len(rows), pa.int64())).append_column("y", pa.nulls(len(rows), pa.int64()))
+
+    with_sketch = cells.join(heads.select("id", "sketch"), "id").select(*CELL, "side", "id", "comp", "sketch")
+    return written(with_sketch.groupBy(*CELL).applyInArrow(sift, CELL_SCHEMA), "sifted")
+
+
+def links_in_cells(cells: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between different components inside cells, on full sets; a spanning forest of them leaves the task, never all."""
+
+    def link(table: pa.Table) -> pa.Table:
+        sides = np.asarray(table.column("side"))
+        ids, comps = np.asarray(table.column("id")), np.asarray(table.column("comp"))
+        sets = list(shingle_sets(table.column("text").combine_chunks(), width))
+        s, m = np.flatnonzero(sides), np.flatnonzero(~sides)
+        shared = _shared_counts([sets[i] for i in s], [sets[i] for i in m])
+        n = np.array([len(x) for x in sets])
+        good = (100 * shared >= percent * (n[s][:, None] + n[m][None, :] - shared)) & (shared > 0) & (comps[s][:, None] != comps[m][None, :])
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while top.setdefault(x, x) != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        x_out, y_out = [], []
+        for i, j in zip(*(v.tolist() for v in np.nonzero(good)), strict=True):
+            x, y = find(int(comps[s[i]])), find(int(comps[m[j]]))
+            if x != y:
+                top[x] = y
+                x_out.append(int(ids[s[i]]))
+                y_out.append(int(ids[m[j]]))
+        return pa.table({"x": pa.array(x_out, pa.int64()), "y": pa.array(y_out, pa.int64())})
+
+    full = cells.join(texts, "id").select(*CELL, "side", "id", "comp", "text")
+    return written(full.groupBy(*CELL).applyInArrow(link, "x long, y long"), "links")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id and kept (doc_id = component_id).
 
@@ -146,18 +245,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     pivots = lists.groupBy("value").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("p"), F.count("*").alias("size")).where("size > 1").select("value", (-F.col("p.minus")).alias("pivot"))
     pivots = written(pivots, "pivots")
     stars = lists.join(pivots, "value").where("id != pivot").groupBy(F.col("id").alias("x"), F.col("pivot").alias("y")).agg(F.count("*").alias("shared"))
+    release(spark)
     links = verified(stars.select("x", "y"), texts, heads, width, percent, k)
+    release(spark)
     comps = components(links)
 
-    # what the pivots left open: pairs of a list in different components
-    label = F.coalesce("c", "id")
-    placed = lists.join(comps, lists.id == comps.v, "left").select("value", "id", "n", label.alias("comp"))
+    # what the pivots left open: members of a pivot's lists in different components
+    placed = lists.join(comps, lists.id == comps.v, "left").select("value", "id", "n", F.coalesce("c", "id").alias("comp"))
     pivot_comp = pivots.join(comps, pivots.pivot == comps.v, "left").select("value", "pivot", F.coalesce("c", "pivot").alias("pivot_comp"))
-    placed = written(placed.join(pivot_comp, "value"), "placed")
-    strays = placed.where("comp != pivot_comp").select("value", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    rest = placed.where("id != pivot").select("value", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), (F.col("comp") != F.col("pivot_comp")).alias("stray"))
-    open_pairs = strays.join(rest, "value").where("cx != cy and (not stray or x < y)").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    more = verified(open_pairs.select("x", "y").distinct(), texts, heads, width, percent, k)
+    placed = placed.join(pivot_comp, "value").where("id != pivot")
+    placed = written(placed.select("value", "pivot", "id", "n", "comp", (F.col("comp") != F.col("pivot_comp")).alias("stray")), "placed")
+    family = written(placed.select("pivot", "id", "comp", "stray").distinct(), "family")
+    sizes = family.groupBy("pivot").agg(F.count("*").alias("m"), F.count_if("stray").alias("s")).where("s > 0 and m > 1")
+    sizes = written(sizes, "sizes")
+    few = placed.join(sizes.where(F.col("m") * F.col("s") <= PAIRS).select("pivot"), "pivot", "left_semi")
+    strays = few.where("stray").select("value", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
+    rest = few.select("value", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), "stray")
+    pairs = strays.join(rest, "value").where("cx != cy and (not stray or x < y)").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    many = family.join(sizes.where(F.col("m") * F.col("s") > PAIRS), "pivot")
+    found = sifted(blocks_of(many, BLOCK_MEMBERS), heads, least_shared(k, percent))
+    release(spark)
+    pairs = pairs.select("x", "y").unionByName(found.where("x is not null").select("x", "y"))
+    more = verified(pairs.distinct(), texts, heads, width, percent, k)
+    release(spark)
+    dense = found.where("x is null").drop("x", "y")
+    if dense.take(1):
+        wanted = written(dense.select("id").distinct().join(texts, "id"), "texts")
+        release(spark)
+        more = more.unionByName(links_in_cells(dense, wanted, width, percent))
+        release(spark)
     if more.take(1):
         comps = components(links.unionByName(more))
 
