@@ -68,7 +68,16 @@ def written(df: DataFrame, name: str = "table", partition_by: list[str] | None =
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table of written() that nothing will read again."""
+    spark, path = table.sparkSession, table._written_path
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(spark: SparkSession) -> None:
