@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 #: An odd multiplier for the polynomial hash of a word's bytes, and its inverse mod 2^64.
 BASE = 0x9E3779B97F4A7C15 | 1

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.bytesnp import ALNUM, blocks, lower_ascii, repeat_ranges, span_hashes, text_buffer, words
 from quillspark.session import ready, written
 
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 #: A query block is broadcast; its texts take at most this many bytes. More blocks mean more passes over the index.
 QUERY_BYTES = 16 << 20
 INDEX_SCHEMA = "shard long, doc_ids array<long>, n_words array<long>, hashes binary, term_sizes binary, terms binary, counts binary, gaps binary"
