@@ -500,6 +500,21 @@ def test_passages(spark, planted):
     assert left[20] == " ".join(docs[20])
 
 
+def test_two_passages_on_one_diagonal(spark):
+    """What stands between two repeated passages is not repeated, though it is as long in both texts."""
+    word = iter(range(10**6))
+    make = lambda n: [f"u{next(word)}" for _ in range(n)]
+    docs = {}
+    for i in range(12):
+        head, tail = make(60), make(60)
+        docs[2 * i], docs[2 * i + 1] = ([*head, *make(100), *tail] for _ in range(2))
+    df = frame(spark, [(i, " ".join(w)) for i, w in docs.items()])
+    got = {r.doc_id: r for r in passages.repeated_passages(df).collect()}
+    assert set(got) == set(docs) and all({(x.a, x.b) for x in r.spans} == {(0, 60), (160, 220)} for r in got.values())
+    left = {r.doc_id: r.text for r in passages.without_repeats(df).collect()}
+    assert all(left[i].split() == (docs[i] if i % 2 == 0 else docs[i][60:160]) for i in docs)
+
+
 def test_passage_edges(spark):
     assert passages.repeated_passages(frame(spark, [])).count() == 0
     assert passages.repeated_passages(frame(spark, EDGE)).count() == 0
