@@ -500,6 +500,18 @@ def test_passages(spark, planted):
     assert left[20] == " ".join(docs[20])
 
 
+def test_agreeing_as_sets():
+    """A dropped shingle group in a passage whose shingles also stand earlier in the other text."""
+    rnd = np.random.default_rng(3)
+    p, early = rnd.integers(1, 1 << 60, 46), rnd.integers(1, 1 << 60, 20)
+    a = p.copy()
+    b = np.r_[p[:30], early, p[:15], rnd.integers(1, 1 << 60, 4), p[15:]]  # inserted words; the first 30 also stand before
+    c, rc = 10, 60
+    got = passages.agreeing(a.astype(np.uint64), b.astype(np.uint64), (c, 0, 45, rc, 0, len(b) - 1), 46, 41)
+    assert got and got[0][:2] == (0, 45) and got[0][2] == 50
+    assert 0.2 ** passages.HASHES < 0.002
+
+
 def test_two_passages_on_one_diagonal(spark):
     """What stands between two repeated passages is not repeated, though it is as long in both texts."""
     word = iter(range(10**6))
