@@ -500,6 +500,23 @@ def test_passages(spark, planted):
     assert left[20] == " ".join(docs[20])
 
 
+def test_frequent_line_inside_a_passage(spark, monkeypatch):
+    """Passages of exactly 50 words round a frequent line of 40; the smallest documents hold the line alone."""
+    monkeypatch.setattr(passages, "BLOCK", 16)
+    word = iter(range(10**6))
+    make = lambda n: [f"v{next(word)}" for _ in range(n)]
+    line = make(40)
+    docs = {i: [*make(30), *line, *make(30)] for i in range(20)}
+    for i in range(30):
+        left = i % 11
+        own = [*make(left), *line, *make(10 - left)]
+        docs[100 + i], docs[200 + i] = ([*make(20), *own, *make(20)] for _ in range(2))
+    got = {r.doc_id: r for r in passages.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in docs.items()])).collect()}
+    for i in [*range(100, 130), *range(200, 230)]:
+        assert i in got and set(range(20, 70)) <= {k for x in got[i].spans for k in range(x.a, x.b)}, i
+    assert not set(got) & set(range(20)) and all(got[i].n_later == 0 for i in (100, 105, 110))
+
+
 def test_agreeing_as_sets():
     """A dropped shingle group in a passage whose shingles also stand earlier in the other text."""
     rnd = np.random.default_rng(3)
