@@ -268,3 +268,41 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
         found = rows.groupBy("shard", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), _united(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x.b - x.a)
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "items", "spans")
+
+
+def proximity(docs: DataFrame, items: DataFrame, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """doc_id, item and spans (words from a up to b): the smallest spans of a text that hold all words of an item, as often as it
+    does and in any order, and at most slop other words.
+
+    One row for each row of docs and item with such a span. Words, nulls and repeated documents are as in contamination();
+    items of one id with different texts are judged each.
+    """
+    ready(docs.sparkSession)
+    index = build_index(docs, id_col, text_col)
+    passes = [_near(index, b, slop) for b in query_blocks(items, 1 << 30, item_col, item_text_col, query_bytes)]
+    found = passes[0]
+    for p in passes[1:]:
+        found = found.unionByName(p)
+    return found
+
+
+def _near(index: DataFrame, block: QueryBlock, slop: int) -> DataFrame:
+    held = index.sparkSession.sparkContext.broadcast(block)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = held.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shard = Shard({name: batch.column(i)[k].as_py() for i, name in enumerate(_NAMES)})
+                ids = shard.term_ids(q.names, q.hashes)
+                for terms, first, owners in q.windows:
+                    for row in range(len(terms)):
+                        by: dict[int, list[dict]] = {}
+                        for doc, a, b in shard.near(ids[terms[row]].tolist(), slop):
+                            by.setdefault(doc, []).append({"a": a, "b": b + 1})
+                        out = [(shard.doc_ids[d], q.items[x], spans) for d, spans in by.items() for x in owners[first[row] : first[row + 1]].tolist()]
+                        if out:
+                            kinds = (pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "item", "spans"])
+
+    return index.mapInArrow(search, "doc_id long, item string, spans array<struct<a: long, b: long>>")

@@ -183,6 +183,24 @@ def test_proximity(spark):
     assert start.tolist() == [5]
 
 
+@pytest.mark.parametrize("query_bytes", [1 << 20, 8])
+def test_proximity_over_shards(spark, query_bytes):
+    rnd = random.Random(12)
+    docs = [(i, " ".join(rnd.choices("abcdefgh", k=rnd.randint(0, 40)))) for i in range(60)] + [(None, "b a"), (100, None)]
+    items = [(i, " ".join(rnd.choices("abcdefghz", k=rnd.randint(0, 4)))) for i in range(30)] + [(40, "a b"), (41, "a b"), (42, "a a")]
+    want = {}
+    for d, t in docs:
+        w = (t or "").split()
+        for i, q in items:
+            need = collections.Counter(q.split())
+            holds = lambda a, b, w=w, need=need: not need - collections.Counter(w[a:b])
+            spans = [(a, b) for a in range(len(w)) for b in range(a + 1, min(len(w), a + need.total() + 2) + 1) if need and holds(a, b) and not holds(a + 1, b) and not holds(a, b - 1)]
+            if spans:
+                want[d, str(i)] = spans
+    rows = positional.proximity(frame(spark, docs).repartition(3), frame(spark, items, "item_id long, text string"), slop=2, query_bytes=query_bytes).collect()
+    assert {(r.doc_id, r.item): [(x.a, x.b) for x in r.spans] for r in rows} == want and len(rows) == len(want) > 100
+
+
 # -- urls ---------------------------------------------------------------------
 def test_url_rules(spark):
     cases = [("http://a.example.net/en/x?y", "example.net/en/", "allow"), ("http://a.net/", "net/", "block"), ("https://Example.COM/de/1", "example.com/de/", "block"), ("http://b.org/fr/", "org/fr/", "allow"), ("http://c.net", None, None), (None, None, None), ("no scheme", None, None), ("http://xnet/", None, None)]
