@@ -7,8 +7,8 @@ costs each shard its own share.  Shards are rows of a Parquet table in the share
 
 A phrase is found in a shard by starting from the postings of its rarest term, moved back by the
 term's place in the phrase, and intersecting them with the moved postings of the other terms, rarest first.
-All phrases of a query block go through these steps side by side.  Terms are compared by hash
-and then by their bytes, so matches are exact.
+All phrases of a query block go through these steps side by side.  A shard tells its terms apart by two hashes
+of 64 bits, and a query's words are compared with the terms byte by byte.
 """
 
 from __future__ import annotations
@@ -58,10 +58,15 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for a, b in blocks(offsets, shard_bytes):
                 part, off = lower_ascii(raw[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
                 starts, ends, bounds = words(part, off, ALNUM)
-                h = span_hashes(part, starts, ends)
+                h, check = span_hashes(part, starts, ends), span_hashes(part, starts, ends, 1)
                 order = np.argsort(h, kind="stable")
-                sorted_h = h[order]
-                first = np.flatnonzero(np.r_[True, sorted_h[1:] != sorted_h[:-1]]) if len(h) else np.zeros(0, np.int64)
+                sorted_h, sorted_c = h[order], check[order]
+                new = sorted_h[1:] != sorted_h[:-1]
+                if ((sorted_c[1:] != sorted_c[:-1]) > new).any():  # two words of one hash
+                    order = np.lexsort((check, h))
+                    sorted_h, sorted_c = h[order], check[order]
+                    new = (sorted_h[1:] != sorted_h[:-1]) | (sorted_c[1:] != sorted_c[:-1])
+                first = np.flatnonzero(np.r_[True, new]) if len(h) else np.zeros(0, np.int64)
                 counts = np.diff(np.r_[first, len(h)])
                 gaps = np.diff(order, prepend=0)
                 gaps[first] = order[first]
@@ -96,12 +101,12 @@ class Shard:
         """Numbers of terms in this shard, -1 if absent."""
         if not len(self.hashes):
             return np.full(len(names), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        out = np.where(self.hashes[at] == hashes, at, -1)
-        for i in np.flatnonzero(out >= 0).tolist():
-            end = self.term_ends[at[i]]
-            if self.terms[end - len(names[i]) : end] != names[i] or (end - (self.term_ends[at[i] - 1] if at[i] else 0)) != len(names[i]):
-                out[i] = -1
+        first, last = np.searchsorted(self.hashes, hashes), np.searchsorted(self.hashes, hashes, "right")
+        out = np.full(len(names), -1)
+        for i in np.flatnonzero(first < last).tolist():
+            for k in range(int(first[i]), int(last[i])):
+                if self.terms[self.term_ends[k - 1] if k else 0 : self.term_ends[k]] == names[i]:
+                    out[i] = k
         return out
 
     def phrases(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

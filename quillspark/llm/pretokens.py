@@ -181,9 +181,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         suffix = spec["model"].get("end_of_word_suffix") or ""
-        kinds = [spec["pre_tokenizer"]["type"], (spec.get("normalizer") or {}).get("type")]
-        if spec["model"]["type"] != "BPE" or kinds not in (["ByteLevel", None], ["Sequence", "Sequence"]) or bool(suffix) != (kinds[0] == "Sequence"):
-            raise ValueError(f"{path}: this kind of tokenizer is not supported")
+        kinds = [(spec.get("pre_tokenizer") or {}).get("type"), (spec.get("normalizer") or {}).get("type")]
+        #: Other kinds of tokenizer encode whole texts.
+        self.known = spec["model"]["type"] == "BPE" and kinds in (["ByteLevel", None], ["Sequence", "Sequence"]) and bool(suffix) == (kinds[0] == "Sequence")
         self.spaced = not suffix
         self.added = [x["content"].encode() for x in spec["added_tokens"]]
         self.model = self.tokenizer.model
@@ -191,7 +191,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(self.SLOTS, np.uint64)
+        self.keys, self.checks = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)
         self.slot_at = np.zeros(self.SLOTS, np.int32)
         self.slot_n = np.zeros(self.SLOTS, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
@@ -226,33 +226,33 @@ class Encoder:
         return np.concatenate(parts), np.r_[0, np.cumsum(sizes)]
 
     # -- encoding ----------------------------------------------------------
-    def _slots(self, h: np.ndarray) -> np.ndarray:
-        """The slot of each hash, or -1."""
+    def _slots(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The slot of each pre-token, known by two hashes of 64 bits, or -1."""
         mask = self.SLOTS - 1
         slot = (h & np.uint64(mask)).astype(np.int64)
-        found = self.keys[slot]
-        out = np.where(found == h, slot, -1)
-        todo = np.flatnonzero((found != h) & (found != 0))
-        slot = slot[todo]
+        out = np.full(len(h), -1)
+        todo = np.arange(len(h))
         while len(todo):
-            slot = (slot + 1) & mask
             found = self.keys[slot]
-            out[todo] = np.where(found == h[todo], slot, -1)
-            go = (found != h[todo]) & (found != 0)
-            todo, slot = todo[go], slot[go]
+            same = (found == h[todo]) & (self.checks[slot] == check[todo])
+            out[todo[same]] = slot[same]
+            go = ~same & (found != 0)
+            todo, slot = todo[go], (slot[go] + 1) & mask
         return out
 
-    def _learn(self, raw: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def _learn(self, raw: np.ndarray, h: np.ndarray, check: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         mask, letters, tokenize, keys = self.SLOTS - 1, self._letters, self.model.tokenize, self.keys
-        hashes, first = np.unique(h, return_index=True)
+        order = np.lexsort((check, h))
+        first = order[np.r_[True, (h[order[1:]] != h[order[:-1]]) | (check[order[1:]] != check[order[:-1]])]]
+        hashes, checks = h[first], check[first].tolist()
         data, new = raw.tobytes(), []
         at = self.pool_n
-        for x, a, b in zip(hashes.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
+        for x, y, a, b in zip(hashes.tolist(), checks, starts[first].tolist(), ends[first].tolist(), strict=True):
             ids = [t.id for t in tokenize(data[a:b].decode("latin-1").translate(letters))]
             slot = x & mask
             while keys[slot]:
                 slot = (slot + 1) & mask
-            keys[slot] = x
+            keys[slot], self.checks[slot] = x, y
             self.slot_at[slot], self.slot_n[slot] = at, len(ids)
             at += len(ids)
             new += ids
@@ -267,7 +267,8 @@ class Encoder:
         starts, ends = cut(raw, offsets, self.spaced)
         h = span_hashes(raw, starts, ends)
         h[h == 0] = 1
-        slot = self._slots(h)
+        check = span_hashes(raw, starts, ends, 1)
+        slot = self._slots(h, check)
         miss = slot < 0
         if miss.any():
             if self.filled + miss.sum() > self.SLOTS // 2:
@@ -277,15 +278,17 @@ class Encoder:
                 self.SLOTS *= 2
                 self._clear()
                 miss[:] = True
-            self._learn(raw, h[miss], starts[miss], ends[miss])
-            slot = self._slots(h)
+            self._learn(raw, h[miss], check[miss], starts[miss], ends[miss])
+            slot = self._slots(h, check)
         counts = self.slot_n[slot].astype(np.int64)
         ids = self.pool[repeat_ranges(self.slot_at[slot].astype(np.int64), counts)]
         sums = np.r_[0, np.cumsum(counts)]
         return ids, np.diff(sums[np.searchsorted(starts, offsets, "left")])
 
     def _whole(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Texts that hold an added token's string."""
+        """Texts that hold an added token's string; all of them for kinds of tokenizer not known here."""
+        if not self.known:
+            return np.arange(len(offsets) - 1)
         data = raw.tobytes()
         found = []
         for x in self.added:

@@ -604,3 +604,41 @@ def test_stages_with_nulls(spark, sf_dir):
 
 def test_registered():
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+
+
+# -- hashes -------------------------------------------------------------------
+def thue_morse(n=1024):
+    """Two words of a and b that meet under every polynomial hash modulo 2^64."""
+    x = "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_hash_of_patterns(spark, tools):
+    x, y = thue_morse()
+    for library, enc, machine in tools.values():
+        raw, offsets = bytesnp.text_buffer(pa.array([x, y]))
+        want = [library.encode(t, add_special_tokens=False).ids for t in (x, y)]
+        ids, counts = enc.encode(raw, offsets)
+        assert ids.tolist() == want[0] + want[1] and counts.tolist() == [len(w) for w in want] == machine.counts(raw, offsets).tolist()
+    many = [" ".join(f"{w}{k}" for k in range(60)) for w in (x, y)]
+    docs = frame(spark, list(enumerate(many)))
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, width=2).collect()} == {0: 0, 1: 1}
+    assert passages.repeated_passages(docs).count() == 0
+    lines = quality.quality(frame(spark, [(1, f"{x}\n{y}", "en")], "doc_id long, text string, lang string")).first()
+    assert lines.n_dup_lines == 0
+    hit = positional.contamination(frame(spark, [(1, x), (2, y)]), frame(spark, [(7, x)], "item_id long, text string")).collect()
+    assert {r.doc_id: r.contaminated for r in hit} == {1: True, 2: False}
+
+
+def test_short_spans_never_meet():
+    spans = [bytes([a, b]) for a in range(60) for b in range(60)] + [bytes([a]) for a in range(60)]
+    raw = np.frombuffer(b"".join(spans), np.uint8)
+    ends = np.cumsum([len(s) for s in spans])
+    assert len(set(bytesnp.span_hashes(raw, ends - [len(s) for s in spans], ends).tolist())) == len(spans)
+
+
+def test_all_templates(spark):
+    text = "permission is granted to anyone who reads this notice in full and keeps it beside the work it was written for today"
+    two = (("A", text), ("B", text + " again"))
+    found = licenses.scan(frame(spark, [(1, text)]), templates=two).first()
+    assert found.licenses == "A,B" and found.best_license == "A" and found.best_dice == 1.0
