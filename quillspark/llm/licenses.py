@@ -58,19 +58,18 @@ class Scanner:
         least = min((t[0] for t in self.templates), default=1)
         self.hits = max(1, -(-percent * least // (200 - percent)))  # fewest shared bigrams of any match
 
-    def match(self, data: bytes) -> tuple[int, int, str] | None:
-        """(shared bigrams, both sets' sizes, licence) of the best template at least percent alike; ties go to the smaller name."""
+    def matches(self, data: bytes) -> list[tuple[int, int, str]]:
+        """(shared bigrams, both sets' sizes, licence) of every template at least percent alike."""
         g = bigrams(data)
-        best = None
+        found = []
         for size, name, t in self.templates:
             # 2 * shared / (a + b) >= p needs min(a, b) >= p * max(a, b) / (2 - p)
             if (200 - self.percent) * min(size, len(g)) < self.percent * max(size, len(g)):
                 continue
             shared = len(g & t)
-            both = size + len(g)
-            if 200 * shared >= self.percent * both and (best is None or shared * best[1] > best[0] * both or (shared * best[1] == best[0] * both and name < best[2])):
-                best = (shared, both, name)
-        return best
+            if 200 * shared >= self.percent * (size + len(g)):
+                found.append((shared, size + len(g), name))
+        return found
 
     def scan(self, raw: np.ndarray, offsets: np.ndarray) -> list[dict[str, tuple[int, int]]]:
         """For each text the licences found and the best (shared, sizes) of each."""
@@ -91,9 +90,7 @@ class Scanner:
             enough = (b - a >= 2) & (sums[np.minimum(np.maximum(b - 1, a), len(pair))] - sums[np.minimum(a, len(pair))] >= self.hits)
             docs = np.searchsorted(offsets, edge, "right") - 1
             for k in np.flatnonzero(enough).tolist():
-                found = self.match(data[edge[k] : last[k]])
-                if found:
-                    shared, both, name = found
+                for shared, both, name in self.matches(data[edge[k] : last[k]]):
                     old = out[docs[k]].get(name)
                     if old is None or shared * old[1] > old[0] * both:
                         out[docs[k]][name] = (shared, both)
