@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,9 +66,9 @@ def sigmoid_boost(score: Column, midpoint: float, steepness: float) -> Column:
 
 
 def gauss_decay(value: Column, origin: float, scale: float, offset: float, decay: float) -> Column:
-    """1 inside offset, decay at offset + scale."""
-    d = F.greatest(F.lit(0.0), F.abs(value - origin) - offset)
-    return F.exp(-(d * d) / (2 * (-(scale * scale) / (2 * math.log(decay)))))
+    """1 inside offset, falling to decay far away: a bell of width scale over a floor of decay."""
+    d = F.greatest(F.lit(0.0), F.abs(value - origin) - offset) / scale
+    return F.exp(-(d * d) / 2) * (1 - decay) + decay
 
 
 def overlap(query: Column, doc: Column) -> Column:

@@ -8,8 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Common English words that an analyzer leaves out.
-STOP_WORDS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
+#: Words that an analyzer leaves out.
+STOP_WORDS = tuple(
+    """a an the and or but in on at to for of with by from is was are were be been being have has had do does did
+    will would shall should may might must can could it its he she they we you i this that these those am not no if
+    so as than too very just about into over after before between under again further then once here there all each every both
+    few more most other some such only own same up out off down his her my our their me him us them what which who
+    whom when where why how""".split()
+)
 PUNCTUATION = r"[.,;:!?()\[\]{}\"']"
 
 

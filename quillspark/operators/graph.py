@@ -6,6 +6,8 @@ a visiting order, or that are cubic, are marked small: they run on one collected
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
 from collections import defaultdict, deque
 
@@ -98,39 +100,71 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, nodes: D
     return ranks
 
 
-def bfs(edges: DataFrame, source, max_depth: int = 64, directed: bool = True) -> DataFrame:
-    """(id, depth) of what is reachable from source. Each round joins the frontier only."""
+def bfs(edges: DataFrame, source, max_depth: int | None = None, directed: bool = True) -> DataFrame:
+    """(id, depth) of what is reachable from source, to any depth unless max_depth is given. Each round joins the frontier only."""
     spark = ready(edges.sparkSession)
     both = edges.select("src", "dst")
     if not directed:
         both = both.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     kind = edges.schema["src"].dataType.simpleString()
-    seen = spark.createDataFrame([(source, 0)], f"id {kind}, depth int")
-    frontier = seen
-    for depth in range(1, max_depth + 1):
+    seen = frontier = spark.createDataFrame([(source, 0)], f"id {kind}, depth int")
+    for depth in itertools.count(1):
+        if max_depth is not None and depth > max_depth:
+            break
         nxt = both.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
         frontier = written(nxt.withColumn("depth", F.lit(depth)), "frontier")
         if not frontier.take(1):
             break
         seen = seen.unionByName(frontier)
+        if depth % 16 == 0:  # else plans of long paths grow with every round
+            seen = written(seen, "seen")
     return seen
 
 
-def shortest_paths(edges: DataFrame, source, weight: str | None = None, max_rounds: int = 100) -> DataFrame:
-    """(id, dist) by relaxing all edges until nothing moves; weights are not negative."""
+def shortest_paths(edges: DataFrame, source, weight: str | None = None) -> DataFrame:
+    """(id, dist) by relaxing the edges of vertices that have moved until none moves; weights are not negative (others raise)."""
     spark = ready(edges.sparkSession)
     kind = edges.schema["src"].dataType.simpleString()
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     links = edges.select("src", "dst", w.alias("w"))
-    dist = spark.createDataFrame([(source, 0.0)], f"id {kind}, dist double")
-    for _ in range(max_rounds):
-        step = links.join(dist, links.src == dist.id).select(F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"))
-        new = written(dist.unionByName(step).groupBy("id").agg(F.min("dist").alias("dist")), "dist")
-        moved = new.join(dist.withColumnRenamed("dist", "old"), "id", "left").where("old is null or dist < old").take(1)
-        dist = new
-        if not moved:
-            break
-    return dist
+    if weight and links.where("w < 0").take(1):
+        raise ValueError("weights are not negative")
+    dist = moved = spark.createDataFrame([(source, 0.0)], f"id {kind}, dist double")
+    while True:
+        step = links.join(moved, links.src == moved.id).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
+        both = dist.join(step, "id", "full_outer").select("id", F.least("dist", "new").alias("dist"), (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("moved"))
+        table = written(both, "dist")
+        dist, moved = table.select("id", "dist"), table.where("moved").select("id", "dist")
+        if not moved.take(1):
+            return dist
+
+
+def a_star(edges: DataFrame, source, target, weight: str, estimate: DataFrame) -> tuple[list, float | None]:
+    """Vertices of a shortest path and its length ([] and None if there is none). estimate: id, h, never more than what is left to target
+    (missing: 0). Vertices go out in order of dist + h; small, as that order is sequential."""
+    adj: dict = defaultdict(list)
+    for s, d, w in _collected(edges, weight):
+        adj[s].append((float(w), d))
+    ids = edges.sparkSession.createDataFrame([(v,) for v in {source, *adj}], f"id {edges.schema['src'].dataType.simpleString()}")
+    left = {r["id"]: float(r["h"]) for r in estimate.select("id", "h").join(ids, "id", "left_semi").collect()}
+    heap, came, dist, done = [(left.get(source, 0.0), source)], {source: None}, {source: 0.0}, set()
+    while heap:
+        _, v = heapq.heappop(heap)
+        if v == target:
+            path = []
+            while v is not None:
+                path.append(v)
+                v = came[v]
+            return path[::-1], dist[target]
+        if v in done:
+            continue
+        done.add(v)
+        for w, u in adj[v]:
+            if u not in dist or dist[v] + w < dist[u]:
+                dist[u], came[u] = dist[v] + w, v
+                done.discard(u)
+                heapq.heappush(heap, (dist[u] + left.get(u, 0.0), u))
+    return [], None
 
 
 def all_pairs(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -140,7 +174,7 @@ def all_pairs(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     nodes = (nodes if nodes is not None else vertices(edges)).select("id")
     zero = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("hops"))
     dist = written(edges.select("src", "dst", F.lit(1).alias("hops")).unionByName(zero).groupBy("src", "dst").agg(F.min("hops").alias("hops")), "hops")
-    for _ in range(40):
+    while True:
         two = dist.alias("x").join(dist.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"), (F.col("x.hops") + F.col("y.hops")).alias("hops"))
         new = written(two.groupBy("src", "dst").agg(F.min("hops").alias("hops")), "hops")
         a, b = (d.agg(F.count("*"), F.sum("hops")).first() for d in (dist, new))
@@ -163,13 +197,13 @@ def path_statistics(edges: DataFrame) -> DataFrame:
     return d.select(F.when(F.col("pairs") == n * (n - 1), F.col("most")).otherwise(-1).alias("diameter"), F.col("mean").alias("average_path"))
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(id, component): the smallest vertex of each weak component; labels spread and are followed once each round."""
     ready(edges.sparkSession)
     nodes = (nodes if nodes is not None else vertices(edges)).select("id")
     both = written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "both")
     labels = written(nodes.withColumn("c", F.col("id")), "labels")
-    for _ in range(max_rounds):
+    while True:
         heard = both.join(labels, both.src == labels.id).groupBy("dst").agg(F.min("c").alias("m"))
         low = labels.join(heard, labels.id == heard.dst, "left").select("id", "c", F.least("c", F.coalesce("m", "c")).alias("l"))
         up = labels.select(F.col("id").alias("l"), F.col("c").alias("p"))
@@ -180,20 +214,43 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
     return labels.select("id", F.col("c").alias("component"))
 
 
-def topological_levels(edges: DataFrame, max_rounds: int = 1000) -> tuple[DataFrame, bool]:
-    """(id, level) of vertices by repeatedly taking those without open in-edges, and whether a cycle is left."""
-    ready(edges.sparkSession)
+def topological_levels(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """(id, level) of the vertices that no cycle leads to, by repeatedly taking those without open in-edges, and whether a cycle is left.
+
+    When at most SMALL_EDGES edges are open the rest is done on the driver, so that deep graphs do not cost a job for each level.
+    """
+    spark = ready(edges.sparkSession)
     nodes = written(vertices(edges), "nodes")
-    open_edges, left, out = edges.select("src", "dst"), nodes, None
-    for level in range(max_rounds):
-        free = written(left.join(open_edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level)), "level")
-        if not free.take(1):
+    kind = edges.schema["src"].dataType.simpleString()
+    live, left, out = written(edges.select("src", "dst"), "open"), nodes, None
+    for level in itertools.count():
+        if live.limit(SMALL_EDGES + 1).count() <= SMALL_EDGES:
             break
+        free = written(left.join(live.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level)), "level")
+        if not free.take(1):
+            return (out if out is not None else free), True
         out = free if out is None else out.unionByName(free)
         left = written(left.join(free.select("id"), "id", "left_anti"), "left")
-        open_edges = written(open_edges.join(left.select(F.col("id").alias("src")), "src", "left_semi"), "open")
-    cyclic = bool(left.take(1))
-    return (out if out is not None else nodes.where("false").withColumn("level", F.lit(0))), cyclic
+        live = written(live.join(left.select(F.col("id").alias("src")), "src", "left_semi"), "open")
+    after, waits = defaultdict(list), defaultdict(int)
+    for s, d in _collected(live):
+        after[s].append(d)
+        waits[d] += 1
+    ends = {x for s, ds in after.items() for x in (s, *ds)}
+    rows, now = [], [v for v in ends if not waits[v]]
+    depth = level
+    while now:
+        rows += [(v, depth) for v in now]
+        nxt = []
+        for v in now:
+            for d in after[v]:
+                waits[d] -= 1
+                if not waits[d]:
+                    nxt.append(d)
+        now, depth = nxt, depth + 1
+    met = spark.createDataFrame([(v,) for v in ends], f"id {kind}")
+    rest = left.join(met, "id", "left_anti").withColumn("level", F.lit(level)).unionByName(spark.createDataFrame(rows, f"id {kind}, level int"))
+    return (rest if out is None else out.unionByName(rest)), len(rows) < len(ends)
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
@@ -215,7 +272,7 @@ def spanning_forest(edges: DataFrame, weight: str | None = None) -> DataFrame:
     und = edges.where("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), w.alias("w")).groupBy("a", "b").agg(F.min("w").alias("w"))
     und = written(und, "undirected")
     chosen, comp = None, vertices(edges).withColumn("component", F.col("id"))
-    for _ in range(64):
+    while True:
         ca, cb = comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), comp.select(F.col("id").alias("b"), F.col("component").alias("cb"))
         cross = written(und.join(ca, "a").join(cb, "b").where("ca != cb"), "cross")
         if not cross.take(1):
@@ -227,14 +284,12 @@ def spanning_forest(edges: DataFrame, weight: str | None = None) -> DataFrame:
     return chosen if chosen is not None else und.where("false")
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component): vertices are coloured with the smallest vertex that reaches them; those of one colour that
     reach that vertex back are a component and are taken out."""
     ready(edges.sparkSession)
     left, out, live = written(vertices(edges), "nodes"), None, edges.select("src", "dst")
-    for _ in range(max_rounds):
-        if not left.take(1):
-            break
+    while left.take(1):
         color = written(left.withColumn("c", F.col("id")), "color")
         while True:
             heard = live.join(color, live.src == color.id).groupBy("dst").agg(F.min("c").alias("m"))
@@ -390,6 +445,46 @@ def coloring(edges: DataFrame) -> dict:
     return out
 
 
+def walk(edges: DataFrame, source, visit, directed: bool = True) -> int:
+    """Calls visit(id, depth) for what is reachable from source, nearest first and by id; a false answer ends the walk. The number of calls."""
+    n = 0
+    for row in bfs(edges, source, directed=directed).orderBy("depth", "id").toLocalIterator():
+        n += 1
+        if visit(row["id"], row["depth"]) is False:
+            break
+    return n
+
+
+def centralities(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """id, out_degree, in_degree, closeness, betweenness and eigenvector score of every vertex. Small: betweenness and closeness are."""
+    out = degrees(edges).join(closeness(edges).select("id", "closeness"), "id", "left").join(betweenness(edges), "id", "left")
+    return out.join(eigenvector(edges, rounds).withColumnRenamed("score", "eigenvector"), "id", "left").na.fill(0.0)
+
+
+# -- property graphs as tables -------------------------------------------------
+def add_nodes(nodes: DataFrame, more: DataFrame) -> DataFrame:
+    """nodes with those of more (id, labels, props) whose id is new."""
+    return nodes.unionByName(more.dropDuplicates(["id"]).join(nodes.select("id"), "id", "left_anti").select(*nodes.columns))
+
+
+def add_edges(nodes: DataFrame, edges: DataFrame, more: DataFrame) -> DataFrame:
+    """edges with those of more (id, src, dst, type) whose id is new and whose ends are in nodes."""
+    known = more.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return edges.unionByName(known.dropDuplicates(["id"]).join(edges.select("id"), "id", "left_anti").select(*edges.columns))
+
+
+def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges without the ids in gone and without the edges at them."""
+    g = gone.select("id")
+    return nodes.join(g, "id", "left_anti"), edges.join(g.withColumnRenamed("id", "src"), "src", "left_anti").join(g.withColumnRenamed("id", "dst"), "dst", "left_anti").select(*edges.columns)
+
+
+def set_property(nodes: DataFrame, which, name: str, value) -> DataFrame:
+    """nodes with property name set to value where the condition holds."""
+    new = F.map_concat(F.map_filter("props", lambda k, _: k != name), F.create_map(F.lit(name), F.lit(value)))
+    return nodes.withColumn("props", F.when(which, new).otherwise(F.col("props")))
+
+
 def in_box(points: DataFrame, x: str, y: str, box: tuple[float, float, float, float]) -> DataFrame:
     """Points inside min_x, min_y, max_x, max_y (bounds included)."""
     return points.where(F.col(x).between(box[0], box[2]) & F.col(y).between(box[1], box[3]))

@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from quillspark.functions import scoring, text
 from quillspark.operators import graph, integrity, relational, search, structures, vectors, versioned
 from quillspark.plans import boolean, pattern
-from quillspark.session import load, new_path, ready
+from quillspark.session import load, new_path, ready, written
+from quillspark.sources import tables
 from quillspark.streaming import log, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,20 +171,20 @@ def topk_per_group(spark, d):
 
 
 def _nations(spark, d):
-    return load(spark, d, "customer").select(F.col("c_nationkey").alias("k")), load(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("k"))
+    return load(spark, d, "customer").select(F.col("c_nationkey").alias("k")), load(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("k"))
 
 
-@register("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0")
+@register("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 0")
 def set_union(spark, d):
     return relational.union(*_nations(spark, d))
 
 
-@register("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0")
+@register("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0")
 def set_intersect(spark, d):
     return relational.intersect(*_nations(spark, d))
 
 
-@register("SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0")
+@register("SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0")
 def set_except(spark, d):
     return relational.subtract(*_nations(spark, d))
 
@@ -644,46 +645,63 @@ def pca_variance(spark, d):
     return spark.createDataFrame([(i, s) for i, s in enumerate(share, 1)], "components int, share double")
 
 
-# -- graph: nations that trade, and pages that link ---------------------------
-TRADE = "(SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 47 AND l_orderkey % 40 = 0)"
+# -- graph: who supplies whom, in which nation; nations that trade ---------------
+#: Fixed places of ids: suppliers, customers and nations have their own ranges.
+SUPPLIER, CUSTOMER = 10**12, 2 * 10**12
+#: Suppliers point to the customers they have sold to, customers to their nation, nations to their suppliers.
+SUPPLY = f"(SELECT DISTINCT {SUPPLIER} + l_suppkey AS src, {CUSTOMER} + o_custkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT {CUSTOMER} + c_custkey, c_nationkey FROM customer UNION ALL SELECT s_nationkey, {SUPPLIER} + s_suppkey FROM supplier)"
+#: Nations by what their suppliers sold to customers of which nation; w is the price of the cheapest such line.
+TRADE = "(SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst, min(l_extendedprice) AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
+
+
+def _supply(spark, d):
+    li = load(ready(spark), d, "lineitem").select("l_orderkey", "l_suppkey")
+    o = load(spark, d, "orders").select("o_orderkey", "o_custkey")
+    sold = li.join(o, li.l_orderkey == o.o_orderkey).select((F.lit(SUPPLIER) + F.col("l_suppkey")).alias("src"), (F.lit(CUSTOMER) + F.col("o_custkey")).alias("dst")).distinct()
+    lives = load(spark, d, "customer").select((F.lit(CUSTOMER) + F.col("c_custkey")).alias("src"), F.col("c_nationkey").cast("long").alias("dst"))
+    return written(sold.unionByName(lives).unionByName(load(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("src"), (F.lit(SUPPLIER) + F.col("s_suppkey")).alias("dst"))), "supply")
 
 
 def _trade(spark, d):
-    li = load(ready(spark), d, "lineitem").where("l_quantity > 47 and l_orderkey % 40 = 0").select("l_orderkey", "l_suppkey")
-    s = load(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("src"))
+    li = load(ready(spark), d, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
+    s = load(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("src"))
     o = load(spark, d, "orders").select("o_orderkey", "o_custkey")
-    c = load(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("dst"))
-    return li.join(s, li.l_suppkey == s.s_suppkey).join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey")).select("src", "dst").distinct()
+    c = load(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("dst"))
+    joined = li.join(s, li.l_suppkey == s.s_suppkey).join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return written(joined.groupBy("src", "dst").agg(F.min("l_extendedprice").alias("w")), "trade")
 
 
-@register(f"WITH e AS {TRADE} SELECT id, (SELECT count(*) FROM e WHERE src = id) AS out_degree, (SELECT count(*) FROM e WHERE dst = id) AS in_degree FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)")
+@register(f"WITH e AS MATERIALIZED {SUPPLY}, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), o AS (SELECT src, count(*) AS n FROM e GROUP BY 1), i AS (SELECT dst, count(*) AS n FROM e GROUP BY 1) SELECT id, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree FROM v LEFT JOIN o ON o.src = id LEFT JOIN i ON i.dst = id")
 def graph_degree(spark, d):
-    return graph.degrees(_trade(spark, d))
+    return graph.degrees(_supply(spark, d))
 
 
-@register(f"WITH e AS {TRADE}, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), g AS (SELECT id, count(e.src) AS out_degree FROM v LEFT JOIN e ON e.src = id GROUP BY 1) SELECT out_degree, count(*) AS n FROM g GROUP BY 1")
+@register(f"WITH e AS {SUPPLY}, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), g AS (SELECT id, count(e.src) AS out_degree FROM v LEFT JOIN e ON e.src = id GROUP BY 1) SELECT out_degree, count(*) AS n FROM g GROUP BY 1")
 def degree_histogram(spark, d):
-    return graph.degree_histogram(_trade(spark, d))
+    return graph.degree_histogram(_supply(spark, d))
 
 
-UND = f"e AS {TRADE}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst)"
+UND = f"e AS MATERIALIZED {SUPPLY}, u AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst)"
 
 
 @register(f"WITH {UND} SELECT x.a, x.b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b")
 def triangles(spark, d):
-    return graph.triangles(_trade(spark, d))
+    return graph.triangles(_supply(spark, d))
 
 
 @register(f"""WITH {UND}, t AS (SELECT x.a, x.b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b), deg AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM u UNION ALL SELECT b FROM u) GROUP BY 1),
 k AS (SELECT id, count(*) AS triangles FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY 1)
 SELECT id, degree, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree > 1 THEN coalesce(triangles, 0) / (degree * (degree - 1) / 2) ELSE 0 END, 4) AS clustering FROM deg LEFT JOIN k USING (id)""")
 def clustering(spark, d):
-    return graph.clustering(_trade(spark, d)).withColumn("clustering", F.round("clustering", 4))
+    return graph.clustering(_supply(spark, d)).withColumn("clustering", F.round("clustering", 4))
 
 
-@register(f"WITH {UND} SELECT (SELECT count(*) FROM (SELECT a FROM u UNION SELECT b FROM u)) AS nodes, (SELECT count(*) FROM u) AS edges")
+@register(f"""WITH {UND}, t AS (SELECT count(*) AS n FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b), b AS (SELECT a AS x, b AS y FROM u UNION ALL SELECT b, a FROM u), deg AS (SELECT x AS id, count(*)::DOUBLE AS d FROM b GROUP BY 1),
+c AS (SELECT corr(p.d, q.d) AS r FROM b JOIN deg p ON p.id = b.x JOIN deg q ON q.id = b.y), s AS (SELECT count(*) AS nodes, sum(d * (d - 1) / 2) AS triplets FROM deg)
+SELECT nodes, (SELECT count(*) FROM u) AS edges, round(2 * (SELECT count(*) FROM u) / (nodes * (nodes - 1)), 6) AS density, t.n AS triangles, round(3 * t.n / triplets, 6) AS global_clustering, round(r, 4) AS assortativity FROM s, t, c""")
 def graph_size(spark, d):
-    return graph.statistics(_trade(spark, d)).select("nodes", "edges")
+    out = graph.statistics(_supply(spark, d))
+    return out.select("nodes", "edges", F.round("density", 6).alias("density"), "triangles", F.round("global_clustering", 6).alias("global_clustering"), r4(F.col("assortativity"), "assortativity"))
 
 
 @register("SELECT s.s_suppkey AS a, c.c_custkey AS b FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN customer c ON c.c_nationkey = n.n_nationkey WHERE n.n_regionkey = 1 AND s.s_acctbal > 5000 AND c.c_mktsegment = 'BUILDING'")
@@ -701,7 +719,7 @@ def pattern_match(spark, d):
 
 
 def _pagerank_sql(rounds: int) -> str:
-    parts = [f"WITH e AS {TRADE}, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), o AS (SELECT src, count(*) AS d FROM e GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM v), r0 AS (SELECT id, 1 / n AS rank FROM v, n)"]
+    parts = [f"WITH e AS MATERIALIZED {SUPPLY}, v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e), o AS MATERIALIZED (SELECT src, count(*) AS d FROM e GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM v), r0 AS (SELECT id, 1 / n AS rank FROM v, n)"]
     for i in range(rounds):
         parts.append(f"r{i + 1} AS MATERIALIZED (SELECT v.id, 0.15 / n + 0.85 * (coalesce(g, 0) + coalesce((SELECT sum(rank) FROM r{i} WHERE id NOT IN (SELECT src FROM o)), 0) / n) AS rank FROM v CROSS JOIN n LEFT JOIN (SELECT dst, sum(rank / d) AS g FROM e JOIN o USING (src) JOIN r{i} ON r{i}.id = e.src GROUP BY 1) q ON q.dst = v.id)")
     return ", ".join(parts) + f" SELECT id, round(rank, 6) AS rank FROM r{rounds}"
@@ -709,10 +727,10 @@ def _pagerank_sql(rounds: int) -> str:
 
 @register(_pagerank_sql(5))
 def pagerank_5(spark, d):
-    return graph.pagerank(_trade(spark, d), 5).select("id", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(_supply(spark, d), 5).select("id", F.round("rank", 6).alias("rank"))
 
 
-HOPS = f"WITH RECURSIVE e AS MATERIALIZED {TRADE}, h AS (SELECT id AS src, id AS dst, 0 AS hops FROM (SELECT src AS id FROM e UNION SELECT dst FROM e) UNION SELECT h.src, e.dst, hops + 1 FROM h JOIN e ON h.dst = e.src WHERE hops < 12), m AS (SELECT src, dst, min(hops) AS hops FROM h GROUP BY 1, 2)"
+HOPS = f"WITH RECURSIVE e AS MATERIALIZED {TRADE}, h AS (SELECT id AS src, id AS dst, 0 AS hops FROM (SELECT src AS id FROM e UNION SELECT dst FROM e) UNION SELECT h.src, e.dst, hops + 1 FROM h JOIN e ON h.dst = e.src WHERE hops < 25), m AS (SELECT src, dst, min(hops) AS hops FROM h GROUP BY 1, 2)"
 
 
 @register(f"{HOPS} SELECT src, dst, hops FROM m")
@@ -720,78 +738,178 @@ def all_pairs_hops(spark, d):
     return graph.all_pairs(_trade(spark, d))
 
 
-@register(f"{HOPS} SELECT dst AS id, hops AS depth FROM m WHERE src = (SELECT min(src) FROM e)")
+@register(f"{HOPS} SELECT src AS id, count(*) AS reached, round(count(*) / sum(hops), 4) AS closeness FROM m WHERE src <> dst GROUP BY 1")
+def closeness(spark, d):
+    return graph.closeness(_trade(spark, d)).withColumn("closeness", F.round("closeness", 4))
+
+
+@register(f"{HOPS}, p AS (SELECT count(*) AS pairs, max(hops) AS most, avg(hops) AS mean FROM m WHERE src <> dst), v AS (SELECT count(DISTINCT src) AS n FROM m) SELECT CASE WHEN pairs = n * (n - 1) THEN most ELSE -1 END AS diameter, round(mean, 4) AS average_path FROM p, v")
+def path_statistics(spark, d):
+    return graph.path_statistics(_trade(spark, d)).select("diameter", r4(F.col("average_path"), "average_path"))
+
+
+FROM_FIRST = f"WITH RECURSIVE e AS MATERIALIZED {SUPPLY}, h AS (SELECT min(src) AS id, 0 AS depth FROM e UNION SELECT e.dst, depth + 1 FROM h JOIN e ON h.id = e.src WHERE depth < 12)"
+
+
+@register(f"{FROM_FIRST} SELECT id, min(depth) AS depth FROM h GROUP BY 1")
 def bfs_levels(spark, d):
-    e = _trade(spark, d)
+    e = _supply(spark, d)
     return graph.bfs(e, e.agg(F.min("src")).first()[0])
 
 
-@register(f"{HOPS} SELECT dst AS id, hops::DOUBLE AS dist FROM m WHERE src = (SELECT min(src) FROM e)")
+@register(f"{FROM_FIRST} SELECT id, min(depth)::DOUBLE AS dist FROM h GROUP BY 1")
 def shortest_paths(spark, d):
-    e = _trade(spark, d)
+    e = _supply(spark, d)
     return graph.shortest_paths(e, e.agg(F.min("src")).first()[0])
 
 
-@register(f"{HOPS} SELECT src AS id, count(*) AS reached, round(count(*) / sum(hops), 4) AS closeness FROM m WHERE src <> dst GROUP BY 1")
-def closeness(spark, d):
-    return graph.closeness(_trade(spark, d)).withColumn("closeness", F.round("closeness", 4))
+def _relaxed_sql(rounds: int) -> str:
+    parts = [f"WITH e AS MATERIALIZED {TRADE}, d0 AS (SELECT min(src) AS id, 0.0::DOUBLE AS dist FROM e)"]
+    for i in range(rounds):
+        parts.append(f"d{i + 1} AS MATERIALIZED (SELECT id, min(dist) AS dist FROM (SELECT * FROM d{i} UNION ALL SELECT e.dst, dist + w FROM d{i} JOIN e ON e.src = d{i}.id) GROUP BY 1)")
+    return ", ".join(parts)
 
 
-LINKS = "(SELECT DISTINCT page_id % 60 AS src, page_id * 7 % 60 + (page_id % 5) * 100 AS dst FROM pages)"
+@register(f"{_relaxed_sql(25)} SELECT id, round(dist, 2) AS dist FROM d25")
+def weighted_paths(spark, d):
+    e = _trade(spark, d)
+    return graph.shortest_paths(e, e.agg(F.min("src")).first()[0], "w").select("id", F.round("dist", 2).alias("dist"))
+
 
+@register(f"{_relaxed_sql(25)} SELECT round(dist, 2) AS dist FROM d25 ORDER BY id DESC LIMIT 1")
+def a_star(spark, d):
+    """The way to the last nation; what is left is at least the cheapest edge."""
+    e = _trade(spark, d)
+    first, last, least = e.agg(F.min("src"), F.max("dst"), F.min("w")).first()
+    h = graph.vertices(e).select("id", F.when(F.col("id") == last, 0.0).otherwise(least).alias("h"))
+    return spark.createDataFrame([(round(graph.a_star(e, first, last, "w", h)[1], 2),)], "dist double")
 
-def _links(spark, d):
-    return load(ready(spark), d, "pages").select((F.col("page_id") % 60).alias("src"), (F.col("page_id") * 7 % 60 + F.col("page_id") % 5 * 100).alias("dst")).distinct()
 
+@register(f"{HOPS} SELECT a.dst AS id, CASE WHEN a.dst = b.src THEN 0 ELSE 1 END AS depth FROM m a, (SELECT min(src) AS src FROM e) b WHERE a.src = b.src")
+def walk_order(spark, d):
+    """Visitor calls: every reachable nation once, in order."""
+    e, seen = _trade(spark, d), []
+    graph.walk(e, e.agg(F.min("src")).first()[0], lambda v, depth: seen.append((v, min(depth, 1))))
+    return spark.createDataFrame(seen, "id long, depth int")
 
-REACH = f"WITH RECURSIVE e AS MATERIALIZED {LINKS}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS id, src AS c FROM b UNION SELECT b.dst, r.c FROM r JOIN b ON r.id = b.src)"
+
+@register(f"WITH e AS {TRADE}, s AS (SELECT min(src) AS s, max(dst) AS t FROM e) SELECT (SELECT count(*) FROM e, s WHERE src = s AND dst = t) + (SELECT count(*) FROM e a JOIN e b ON a.dst = b.src, s WHERE a.src = s AND b.dst = t AND a.dst NOT IN (s, t)) AS paths")
+def simple_paths(spark, d):
+    e = _trade(spark, d)
+    first, last = e.agg(F.min("src"), F.max("dst")).first()
+    return graph.simple_paths(e, first, last, 2).agg(F.count("*").alias("paths"))
 
 
-@register(f"{REACH} SELECT id, min(c) AS component FROM r GROUP BY 1")
+REACH = f"WITH RECURSIVE e AS MATERIALIZED {SUPPLY}, b AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n AS (SELECT DISTINCT src AS id FROM b WHERE src < {SUPPLIER}), r AS (SELECT id, id AS c FROM n UNION SELECT b.dst, r.c FROM r JOIN b ON r.id = b.src), k AS (SELECT id, min(c) AS component FROM r GROUP BY 1)"
+
+
+@register(f"{REACH} SELECT id, component FROM k")
 def components(spark, d):
-    return graph.components(_links(spark, d))
+    """Every customer and supplier hangs on a nation, so components are named by nations."""
+    return graph.components(_supply(spark, d))
 
 
-@register(f"{REACH}, k AS (SELECT id, min(c) AS c FROM r GROUP BY 1) SELECT count(*) - count(DISTINCT c) AS edges FROM k")
+@register(f"{REACH} SELECT count(*) - count(DISTINCT component) AS edges FROM k")
 def spanning_forest(spark, d):
-    return graph.spanning_forest(_links(spark, d)).agg(F.count("*").alias("edges"))
+    return graph.spanning_forest(_supply(spark, d)).agg(F.count("*").alias("edges"))
+
 
+@register(f"WITH RECURSIVE u AS MATERIALIZED (SELECT row_number() OVER (ORDER BY w, a, b) AS k, * FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(w) AS w FROM {TRADE} WHERE src <> dst GROUP BY 1, 2)), r AS (SELECT k, a AS id FROM u UNION SELECT r.k, CASE WHEN u.a = r.id THEN u.b ELSE u.a END FROM r JOIN u ON u.k < r.k AND r.id IN (u.a, u.b)) SELECT count(*) AS edges, round(sum(w), 2) AS weight FROM u WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = u.k AND r.id = u.b)")
+def spanning_tree_weight(spark, d):
+    """An edge belongs to the tree if no lighter ones connect its ends."""
+    return graph.spanning_forest(_trade(spark, d), "w").agg(F.count("*").alias("edges"), F.round(F.sum("w"), 2).alias("weight"))
 
-@register(f"WITH RECURSIVE e AS MATERIALIZED {LINKS}, f AS (SELECT src AS a, dst AS b FROM e UNION SELECT f.a, e.dst FROM f JOIN e ON f.b = e.src) SELECT id, least(id, coalesce(min(x.b), id)) AS component FROM (SELECT src AS id FROM e UNION SELECT dst FROM e) LEFT JOIN (SELECT f.a, f.b FROM f JOIN f g ON g.a = f.b AND g.b = f.a) x ON x.a = id GROUP BY id")
+
+@register(f"{REACH.replace('b AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e)', 'b AS MATERIALIZED (SELECT src, dst FROM e)').replace(', k AS (', ', back AS (SELECT id, id AS c FROM n UNION SELECT e.src, back.c FROM back JOIN e ON back.id = e.dst), s AS (SELECT r.id, min(r.c) AS c FROM r JOIN back USING (id, c) GROUP BY 1), k AS (')} SELECT v.id, coalesce(s.c, v.id) AS component FROM (SELECT src AS id FROM e UNION SELECT dst FROM e) v LEFT JOIN s USING (id)")
 def strong_components(spark, d):
-    return graph.strong_components(_links(spark, d))
+    """Every cycle goes through a nation, so a component is a nation's that is reached from it and reaches it, or one vertex."""
+    return graph.strong_components(_supply(spark, d))
 
 
 @register()
 def label_propagation(spark, d):
-    return graph.label_propagation(_links(spark, d), 5)
+    return graph.label_propagation(_supply(spark, d), 5)
 
 
 @register()
 def betweenness(spark, d):
-    return graph.betweenness(_trade(spark, d))
+    return graph.betweenness(_trade(spark, d).select("src", "dst"))
 
 
 @register()
 def eigenvector(spark, d):
-    return graph.eigenvector(_trade(spark, d), 10)
+    return graph.eigenvector(_supply(spark, d), 10)
 
 
-@register()
+@register(f"WITH e AS {TRADE}, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e) SELECT id, (SELECT count(*) FROM e WHERE src = id) AS out_degree, (SELECT count(*) FROM e WHERE dst = id) AS in_degree FROM v")
+def all_centralities(spark, d):
+    return graph.centralities(_trade(spark, d).select("src", "dst")).select("id", "out_degree", "in_degree")
+
+
+@register(f"WITH e AS MATERIALIZED {TRADE}, p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst) SELECT count(*) AS edges, 0::BIGINT AS clashes FROM p")
+def coloring(spark, d):
+    e = _trade(spark, d)
+    colors = graph.coloring(e)
+    table = spark.createDataFrame(list(colors.items()), "id long, color int")
+    both = graph.undirected(e).join(table.select(F.col("id").alias("a"), F.col("color").alias("x")), "a").join(table.select(F.col("id").alias("b"), F.col("color").alias("y")), "b")
+    return both.agg(F.count("*").alias("edges"), F.count_if(F.col("x") == F.col("y")).alias("clashes"))
+
+
+@register(f"WITH e AS {TRADE}, s AS (SELECT min(src) AS s, max(dst) AS t FROM e) SELECT CAST((SELECT count(*) FROM e, s WHERE src = s AND dst = t) + (SELECT count(*) FROM e a JOIN e b ON a.dst = b.src, s WHERE a.src = s AND b.dst = t AND a.dst NOT IN (s, t)) AS DOUBLE) AS at_least")
+def max_flow(spark, d):
+    """With unit capacities, ways of one or two edges are disjoint; between nations that all trade they are a maximum flow."""
+    e = _trade(spark, d)
+    first, last = e.agg(F.min("src"), F.max("dst")).first()
+    flow = graph.max_flow(e.where("src != dst").withColumn("c", F.lit(1.0)), first, last, "c")
+    return spark.createDataFrame([(flow,)], "at_least double")
+
+
+@register(f"WITH e AS {TRADE}, s AS (SELECT min(src) AS s FROM e) SELECT count(DISTINCT dst) AS reached FROM e, s")
+def depth_first(spark, d):
+    e = _trade(spark, d)
+    order = graph.depth_first(e, e.agg(F.min("src")).first()[0])
+    return spark.createDataFrame([(len(set(order)),)], "reached long")
+
+
+@register("SELECT event_id AS id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS level FROM events QUALIFY count(*) OVER (PARTITION BY user_id) > 1")
 def topological_levels(spark, d):
-    e = load(ready(spark), d, "part").where("p_partkey < 200").select((F.col("p_partkey") % 20).alias("src"), (F.col("p_partkey") % 20 + 1 + F.col("p_size") % 3).alias("dst")).distinct()
+    """Each event waits for the same user's event before it."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = load(ready(spark), d, "events").select(F.lag("event_id").over(w).alias("src"), F.col("event_id").alias("dst")).where("src is not null")
     return graph.topological_levels(e)[0]
 
 
+@register("SELECT page_id, target FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s+href=\"([^\"]*)\"', 1)) AS target FROM pages)")
+def page_links(spark, d):
+    return tables.page_links(load(spark, d, "pages"))
+
+
+GROWN = "SELECT count(*) AS nodes, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal >= 0) AS edges, (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 0) AS marked FROM (SELECT c_custkey FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT o_orderkey FROM orders)"
+
+
+@register(GROWN)
+def graph_changes(spark, d):
+    """Customers, then orders and the edges to their customers; customers in debt go; a property is set."""
+    c, o = load(ready(spark), d, "customer"), load(spark, d, "orders")
+    node = lambda df, kind, key: df.select(F.concat(F.lit(kind), F.col(key)).alias("id"), F.array(F.lit(kind)).alias("labels"), F.create_map(F.lit("key"), F.col(key).cast("string")).alias("props"))
+    nodes = graph.add_nodes(node(c, "c", "c_custkey"), node(o, "o", "o_orderkey").unionByName(node(c, "c", "c_custkey")))
+    edges = o.select(F.concat(F.lit("e"), F.col("o_orderkey")).alias("id"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("src"), F.concat(F.lit("c"), F.col("o_custkey")).alias("dst"), F.lit("BY").alias("type"))
+    edges = graph.add_edges(nodes, edges.where("false"), edges)
+    nodes, edges = graph.remove_nodes(nodes, edges, c.where("c_acctbal < 0").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id")))
+    building = c.where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id"), F.lit(True).alias("b"))
+    nodes = graph.set_property(nodes.join(building, "id", "left"), F.col("b"), "segment", "BUILDING")
+    return nodes.agg(F.count("*").alias("nodes"), F.count_if(F.col("props")["segment"] == "BUILDING").alias("marked")).crossJoin(edges.agg(F.count("*").alias("edges")))
+
+
 # -- integrity ----------------------------------------------------------------
 @register("SELECT p_partkey AS k, sha256(p_name) AS h FROM part")
 def leaf_hashes(spark, d):
     return load(spark, d, "part").select(F.col("p_partkey").alias("k"), F.sha2("p_name", 256).alias("h"))
 
 
-@register("SELECT sha256(unhex(a.h || b.h)) AS root FROM (SELECT sha256(unhex(x.h || y.h)) AS h FROM (SELECT sha256(r_name) AS h FROM region WHERE r_regionkey = 0) x, (SELECT sha256(r_name) AS h FROM region WHERE r_regionkey = 1) y) a0, (SELECT sha256(unhex(x.h || y.h)) AS h FROM (SELECT sha256(r_name) AS h FROM region WHERE r_regionkey = 2) x, (SELECT sha256(r_name) AS h FROM region WHERE r_regionkey = 3) y) b0, (SELECT sha256(unhex(a0.h || b0.h)) AS h) a, (SELECT sha256(r_name) AS h FROM region WHERE r_regionkey = 4) b")
+@register("WITH RECURSIVE t(l) AS (SELECT list(sha256(c_name) ORDER BY c_custkey) FROM customer UNION ALL SELECT list_transform(range(1, len(l) + 1, 2), lambda i: CASE WHEN i < len(l) THEN sha256(unhex(l[i] || l[i + 1])) ELSE l[i] END) FROM t WHERE len(l) > 1) SELECT l[1] AS root FROM t WHERE len(l) = 1")
 def merkle_root(spark, d):
-    return integrity.root(integrity.leaves(load(ready(spark), d, "region"), "r_regionkey", "r_name"))
+    return integrity.root(integrity.leaves(load(ready(spark), d, "customer"), "c_custkey", "c_name"))
 
 
 @register()
