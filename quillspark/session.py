@@ -31,8 +31,14 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+#: Rows of one Arrow batch: with long texts a batch of Spark's default of 10,000 takes a large part of a worker's memory.
+BATCH_ROWS = "2048"
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package and gives the session a checkpoint folder if it has none."""
+    """Lets Python workers import this package, keeps Arrow batches small unless they are set, and gives the session a checkpoint folder if it has none."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     sc = spark.sparkContext
     known = sc.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
