@@ -2,13 +2,15 @@
 
 A document's sketch is the k smallest hashes of its distinct word shingles.  Texts with equal sets
 are first folded into one class, so thousands of copies cost no more than one.  The classes'
-retained values form inverted lists.  If two sets have the wanted similarity, their sketches share at least
-c values (c is all but six standard deviations below the mean for large sets, and exact for sets no larger than the sketch), so
-they share one of the k - c + 1 rarest values of each: only those are listed, which leaves out values that
-many unrelated texts hold.
+retained values form inverted lists, each list being of some values that stand next to each other in a sketch: single values are
+held by very many unrelated texts, neighbours hardly ever.  Sets with the wanted similarity of 0.8 or more hold neighbours
+in common.  If they are no larger than the sketch they always share two: at most a fifth of the union's values stand between the four fifths
+that both hold.  Larger sets share three but for a chance of 5e-8 (no run of three in 48 values of which both hold 0.8); so small sets
+are listed by twos, large ones by threes, and those in between by both.  Below 0.8, lists are of single values.  Lists are cut by
+classes of set size, two for each document, so that documents whose sizes alone forbid a link do not meet.
 
 Links inside a list are found without all pairs.  First every member is compared with the list's
-pivot, the member whose values are most common in the corpus.  Pairs pass a size bound and an estimate from
+pivot, its smallest document.  Pairs pass a size bound and an estimate from
 the sketch of the union and are then verified on their full sets.  After the components of these links only
 members in other components than their pivot (strays) are open.  They are compared with all
 members of other components: pair by pair in small families, in larger ones block against block, on sketches first.  A
@@ -29,9 +31,12 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.bytesnp import NOT_BLANK, blocks, lower_ascii, shingle_hashes, span_hashes, text_buffer, words
 from quillspark.llm.components import components
+from quillspark.llm.packed import packed_of, unpack
 from quillspark.session import ready, release, written
 
-SKETCH = 32
+SKETCH = 48
+#: From this similarity on, lists are of neighbouring values.
+NEIGHBOURS_FROM = 80
 #: Up to so many pairs of a pivot's strays and members go one by one; beyond that they meet in blocks of so many documents.
 PAIRS = 256
 BLOCK_MEMBERS = 512
@@ -87,28 +92,26 @@ def estimate(a: Column, b: Column, k: int) -> Column:
 
 def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     """Of the pairs (x, y), those whose full sets have the similarity. sketched: id, n, sketch; docs: id, text."""
-    lean = sketched.select("id", "n", "sketch")
-    one = lean.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
-    two = lean.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
+    lean = sketched.select("id", "sketch")
+    one = lean.select(F.col("id").alias("x"), F.col("sketch").alias("sx"))
+    two = lean.select(F.col("id").alias("y"), F.col("sketch").alias("sy"))
     near = pairs.join(one, "x").join(two, "y")
-    near = near.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
     near = written(near.where(estimate(F.col("sx"), F.col("sy"), k) >= least_shared(k, percent) / k).select("x", "y"), "candidates")
-    wanted = near.select(F.col("x").alias("id")).unionByName(near.select(F.col("y").alias("id"))).distinct()
-    texts = written(docs.join(wanted, "id", "left_semi"), "texts")
-    full = near.join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x")
-    full = full.join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty")
+    texts = packed_of(docs, near.select(F.explode(F.array("x", "y")).alias("id")))
+    full = near.join(texts.select(F.col("id").alias("x"), F.col("packed").alias("tx")), "x")
+    full = full.join(texts.select(F.col("id").alias("y"), F.col("packed").alias("ty")), "y").select("x", "y", "tx", "ty")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, min(batch.num_rows, (8 << 20) * batch.num_rows // max(1, batch.nbytes)))
+            step = max(1, min(batch.num_rows, (2 << 20) * batch.num_rows // max(1, batch.nbytes)))
             for a in range(0, batch.num_rows, step):
                 part = batch.slice(a, step)
                 keep = []
                 ys, last, set_y = part.column(1).to_pylist(), None, None
                 # neighbouring rows often have the same y; its set is made once
                 new = [i for i, y in enumerate(ys) if i == 0 or y != ys[i - 1]]
-                y_sets = shingle_sets(part.column(3).take(pa.array(new, pa.int32())), width)
-                for y, s in zip(ys, shingle_sets(part.column(2), width), strict=True):
+                y_sets = shingle_sets(unpack(part.column(3).take(pa.array(new, pa.int32()))), width)
+                for y, s in zip(ys, shingle_sets(unpack(part.column(2)), width), strict=True):
                     if set_y is None or y != last:
                         last, set_y = y, next(y_sets)
                     both = len(np.intersect1d(s, set_y, assume_unique=True))
@@ -153,7 +156,7 @@ def blocks_of(family: DataFrame, block: int) -> DataFrame:
     return members.unionByName(strays).select(*CELL, "side", "id", "comp")
 
 
-def sifted(cells: DataFrame, heads: DataFrame, least: int) -> DataFrame:
+def sifted(cells: DataFrame, heads: DataFrame, least: int, percent: int) -> DataFrame:
     """Pairs (x, y) of different components in a cell whose sketches share enough values; where these are more than a few per document,
     the cell's documents that have such a partner instead. So what leaves a cell is in proportion to its documents."""
 
@@ -163,7 +166,7 @@ def sifted(cells: DataFrame, heads: DataFrame, least: int) -> DataFrame:
         s, m = np.flatnonzero(side), np.flatnonzero(~side)
         shared = _shared_counts([sets[i] for i in s], [sets[i] for i in m])
         size = np.array([len(x) for x in sets])
-        enough = np.minimum(least, np.minimum(size[s][:, None], size[m][None, :]) // 2 + 1)
+        enough = np.minimum(least, -(-percent * np.maximum(size[s][:, None], size[m][None, :]) // 100))
         good = (shared >= enough) & (comps[s][:, None] != comps[m][None, :])
         x, y = np.nonzero(good)
         if len(x) <= 4 * len(ids):
@@ -185,7 +188,7 @@ def links_in_cells(cells: DataFrame, texts: DataFrame, width: int, percent: int)
     def link(table: pa.Table) -> pa.Table:
         sides = np.asarray(table.column("side"))
         ids, comps = np.asarray(table.column("id")), np.asarray(table.column("comp"))
-        sets = list(shingle_sets(table.column("text").combine_chunks(), width))
+        sets = list(shingle_sets(unpack(table.column("packed").combine_chunks()), width))
         s, m = np.flatnonzero(sides), np.flatnonzero(~sides)
         shared = _shared_counts([sets[i] for i in s], [sets[i] for i in m])
         n = np.array([len(x) for x in sets])
@@ -207,7 +210,7 @@ def links_in_cells(cells: DataFrame, texts: DataFrame, width: int, percent: int)
                 y_out.append(int(ids[m[j]]))
         return pa.table({"x": pa.array(x_out, pa.int64()), "y": pa.array(y_out, pa.int64())})
 
-    full = cells.join(texts, "id").select(*CELL, "side", "id", "comp", "text")
+    full = cells.join(texts, "id").select(*CELL, "side", "id", "comp", "packed")
     return written(full.groupBy(*CELL).applyInArrow(link, "x long, y long"), "links")
 
 
@@ -233,20 +236,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     chosen = members.where("n > 0 and id = rep").select("id")
     heads = written(rows.join(chosen, "id", "left_semi").select("id", "n", "sketch"), "heads")
 
-    # inverted lists of each class's rarest retained values
-    values = heads.select("id", F.size("sketch").alias("m"), "n", F.explode("sketch").alias("value"))
-    common = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    held = values.join(common, "value").groupBy("id").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"))
-    c = F.least(F.lit(least_shared(k, percent)), F.ceil(F.col("m") * percent / 100))
-    room = F.greatest(F.lit(0), F.col("m") - c + 1 - (F.col("m") - F.size("held"))).cast("int")
-    score = F.aggregate("held", F.lit(0).cast("long"), lambda s, v: s + v.df)
-    lists = held.select("id", "n", score.alias("score"), F.explode(F.slice("held", 1, room)).alias("v")).select("id", "n", "score", F.col("v.value").alias("value"))
-    lists = written(lists, "lists")
-    pivots = lists.groupBy("value").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("p"), F.count("*").alias("size")).where("size > 1").select("value", (-F.col("p.minus")).alias("pivot"))
+    # inverted lists of neighbouring retained values, cut by size
+    if percent >= NEIGHBOURS_FROM:
+        at = lambda i, n: F.slice("sketch", F.lit(i), F.greatest(F.size("sketch") - (n - 1), F.lit(0)))
+        twos = F.zip_with(at(1, 2), at(2, 2), lambda a, b: F.xxhash64(a, b))
+        threes = F.zip_with(F.zip_with(at(1, 3), at(2, 3), lambda a, b: F.xxhash64(a, b)), at(3, 3), lambda a, b: F.xxhash64(a, b))
+        none = F.array().cast("array<long>")
+        value = F.concat(F.when(F.col("n") * percent <= 100 * k, twos).otherwise(none), F.when(F.col("n") > k, threes).otherwise(none))
+    else:
+        value = F.col("sketch")
+    values = heads.select("id", "n", F.explode(value).alias("value"))
+    common = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").select("value")
+    size_class = F.floor(F.log("n") / math.log(101 / percent)).cast("int")  # sizes that allow a link are at most one class apart
+    lists = values.join(common, "value").select("id", "n", F.explode(F.array(size_class, size_class + 1)).alias("c"), "value")
+    lists = written(lists.select("id", "n", F.xxhash64("value", "c").alias("value")), "lists")
+    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    pivots = lists.groupBy("value").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("size")).where("size > 1").select("value", F.col("p.id").alias("pivot"), F.col("p.n").alias("np"))
     pivots = written(pivots, "pivots")
-    stars = lists.join(pivots, "value").where("id != pivot").groupBy(F.col("id").alias("x"), F.col("pivot").alias("y")).agg(F.count("*").alias("shared"))
+    stars = lists.join(pivots, "value").where((F.col("id") != F.col("pivot")) & fits("n", "np")).select(F.col("id").alias("x"), F.col("pivot").alias("y")).distinct()
     release(spark)
-    links = verified(stars.select("x", "y"), texts, heads, width, percent, k)
+    links = verified(stars, texts, heads, width, percent, k)
     release(spark)
     comps = components(links)
 
@@ -261,18 +270,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     few = placed.join(sizes.where(F.col("m") * F.col("s") <= PAIRS).select("pivot"), "pivot", "left_semi")
     strays = few.where("stray").select("value", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
     rest = few.select("value", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), "stray")
-    pairs = strays.join(rest, "value").where("cx != cy and (not stray or x < y)").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    pairs = strays.join(rest, "value").where("cx != cy and (not stray or x < y)").where(fits("nx", "ny"))
     many = family.join(sizes.where(F.col("m") * F.col("s") > PAIRS), "pivot")
-    found = sifted(blocks_of(many, BLOCK_MEMBERS), heads, least_shared(k, percent))
+    found = sifted(blocks_of(many, BLOCK_MEMBERS), heads, least_shared(k, percent), percent)
     release(spark)
     pairs = pairs.select("x", "y").unionByName(found.where("x is not null").select("x", "y"))
     more = verified(pairs.distinct(), texts, heads, width, percent, k)
     release(spark)
     dense = found.where("x is null").drop("x", "y")
     if dense.take(1):
-        wanted = written(dense.select("id").distinct().join(texts, "id"), "texts")
-        release(spark)
-        more = more.unionByName(links_in_cells(dense, wanted, width, percent))
+        more = more.unionByName(links_in_cells(dense, packed_of(texts, dense.select("id")), width, percent))
         release(spark)
     if more.take(1):
         comps = components(links.unionByName(more))
