@@ -66,11 +66,12 @@ def knn_join(data: DataFrame, queries: DataFrame, k: int, metric: str = "l2", ve
             for p in parts:
                 if not len(p):
                     continue
-                d = _distances(np.stack(p[vec].to_numpy()).astype(float), mat, metric)
-                top = np.argpartition(d, min(k, len(d)) - 1, axis=0)[:k] if len(d) > k else np.tile(np.arange(len(d))[:, None], (1, len(ids)))
-                limit = np.take_along_axis(d, top, 0).max(0)
-                r, c = np.nonzero(d <= limit)  # ties stay
-                yield pd.DataFrame({"query_id": np.array(ids)[c], "vec_id": p[vec_id].to_numpy()[r], "distance": d[r, c]})
+                p = p.sort_values(vec_id, kind="stable")  # of equal distances the smaller ids stay
+                for at in range(0, len(p), 1024):
+                    own = p.iloc[at : at + 1024]
+                    d = _distances(np.stack(own[vec].to_numpy()).astype(float), mat, metric)
+                    top = np.argsort(d, axis=0, kind="stable")[:k]
+                    yield pd.DataFrame({"query_id": np.tile(ids, len(top)), "vec_id": own[vec_id].to_numpy()[top.ravel()], "distance": np.take_along_axis(d, top, 0).ravel()})
 
         return data.select(vec_id, vec).mapInPandas(run, "query_id long, vec_id long, distance double")
 
@@ -207,30 +208,102 @@ class IVF:
         return decode
 
 
-def lsh(data: DataFrame, queries: DataFrame, k: int, tables: int = 32, n_bits: int = 8, seed: int = 7, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """Neighbours by signs of random projections: vectors that share a bucket in some table with the query are compared exactly (L2)."""
+def lsh(data: DataFrame, queries: DataFrame, k: int, tables: int = 32, n_bits: int = 6, flips: int = 2, seed: int = 7, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """Neighbours by signs of random projections: vectors that share a bucket in some table with the query are compared exactly (L2).
+
+    A query also looks into the buckets that differ in one or two of the flips signs nearest to a plane. Each pair met is counted once.
+    """
     dim = len(data.select(vec).first()[0])
     planes = np.random.default_rng(seed).standard_normal((tables, n_bits, dim))
+    power = 1 << np.arange(n_bits)
 
-    def buckets(name: str):
+    def buckets(name: str, flips: int):
         def run(parts):
             for p in parts:
                 if not len(p):
                     continue
-                x = np.stack(p[vec].to_numpy()).astype(float)
-                b = ((np.einsum("nd,tbd->ntb", x, planes) > 0) * (1 << np.arange(n_bits))).sum(2)
-                yield pd.DataFrame({name: np.repeat(p[vec_id].to_numpy(), tables), "t": np.tile(np.arange(tables), len(p)), "b": b.ravel()})
+                side = np.einsum("nd,tbd->ntb", np.stack(p[vec].to_numpy()).astype(float), planes)
+                b = ((side > 0) * power).sum(2)
+                near = power[np.argsort(np.abs(side), 2)[:, :, :flips]]
+                probes = [b, *(b ^ near[:, :, i] for i in range(flips)), *(b ^ near[:, :, i] ^ near[:, :, j] for i in range(flips) for j in range(i))]
+                for found in probes:
+                    yield pd.DataFrame({name: np.repeat(p[vec_id].to_numpy(), tables), "t": np.tile(np.arange(tables), len(p)), "b": found.ravel()})
 
         return run
 
-    a = data.select(vec_id, vec).mapInPandas(buckets("vec_id"), "vec_id long, t int, b int")
-    q = queries.select(vec_id, vec).mapInPandas(buckets("query_id"), "query_id long, t int, b int")
+    a = data.select(vec_id, vec).mapInPandas(buckets("vec_id", 0), "vec_id long, t int, b int")
+    q = queries.select(vec_id, vec).mapInPandas(buckets("query_id", min(flips, n_bits)), "query_id long, t int, b int")
     pairs = q.join(a, ["t", "b"]).select("query_id", "vec_id").distinct()
     pairs = pairs.join(data.select(F.col(vec_id).alias("vec_id"), F.col(vec).alias("v")), "vec_id").join(queries.select(F.col(vec_id).alias("query_id"), F.col(vec).alias("q")), "query_id")
     pairs = pairs.select("query_id", "vec_id", METRICS["l2"](F.col("v"), F.col("q")).alias("distance"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
 
+# -- product codes -------------------------------------------------------------
+def symmetric_tables(books: list) -> list[np.ndarray]:
+    """Squared distances between all codes of each part."""
+    return [_distances(b, b, "sq_l2") for b in books]
+
+
+def symmetric_distance(books: list, a: str, b: str):
+    """Column: squared distance of two code arrays by the tables of symmetric_tables, which hold codes * codes numbers a part."""
+    total = F.lit(0.0)
+    for i, t in enumerate(symmetric_tables(books)):
+        flat = F.array(*[F.lit(float(v)) for v in t.ravel()])
+        total = total + F.element_at(flat, (F.col(a)[i] * len(t) + F.col(b)[i] + 1).cast("int"))
+    return total
+
+
+def codes_differ(a, b):
+    """Column: in how many parts two code arrays differ."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda x: x))
+
+
+def codes_text(codes):
+    return F.concat_ws(",", F.transform(codes, lambda x: x.cast("string")))
+
+
+def reconstruction_error(index: DataFrame, ivf: IVF) -> DataFrame:
+    """One row: the mean over vectors of the mean squared difference from their decoded codes."""
+    back = ivf._decoder()
+    return index.withColumn("back", back("codes", "list")).agg(F.avg(METRICS["sq_l2"](F.col("vec"), F.col("back")) / F.size("vec")).alias("mse"))
+
+
+def code_entropy(index: DataFrame) -> DataFrame:
+    """(part, entropy): bits of the codes of each part."""
+    n = index.select(F.posexplode("codes").alias("part", "code")).groupBy("part", "code").agg(F.count("*").alias("n"))
+    total = n.groupBy("part").agg(F.sum("n").alias("total"))
+    p = F.col("n") / F.col("total")
+    return n.join(total, "part").groupBy("part").agg((-F.sum(p * F.log2(p))).alias("entropy"))
+
+
+# -- evaluation ------------------------------------------------------------------
+def batch_metrics(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """One row: queries, mean recall at k, share of queries whose nearest is right, mean reciprocal rank of the true nearest."""
+    best = truth.where("rank = 1").select("query_id", F.col("vec_id").alias("best"))
+    place = found.join(best, "query_id").where("vec_id = best").select("query_id", F.col("rank").alias("place"))
+    hits = truth.where(F.col("rank") <= k).join(found.where(F.col("rank") <= k).select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("hits"))
+    rows = best.join(hits, "query_id", "left").join(place, "query_id", "left")
+    return rows.agg(F.count("*").alias("queries"), F.avg(F.coalesce("hits", F.lit(0)) / k).alias("recall"), F.avg(F.when(F.col("place") == 1, 1.0).otherwise(0.0)).alias("first_right"), F.avg(F.coalesce(1 / F.col("place"), F.lit(0.0))).alias("mrr"))
+
+
+def metric_axioms(triples: DataFrame, metric: str, a: str = "a", b: str = "b", c: str = "c", tolerance: float = 1e-5) -> DataFrame:
+    """One row: how many triples of vectors break identity, symmetry and the triangle inequality."""
+    d = METRICS[metric]
+    ab, bc, ac = d(F.col(a), F.col(b)), d(F.col(b), F.col(c)), d(F.col(a), F.col(c))
+    return triples.agg(F.count_if(F.abs(d(F.col(a), F.col(a))) > tolerance).alias("identity"), F.count_if(F.abs(ab - d(F.col(b), F.col(a))) > tolerance).alias("symmetry"), F.count_if(ac > ab + bc + tolerance).alias("triangle"))
+
+
+def random_vectors(ids: DataFrame, dim: int, seed: int = 7, normal: bool = False) -> DataFrame:
+    """ids with a column embedding: dim values from -1 to 1, or normal ones, that depend on the id and the seed only."""
+    even = lambda i, s: (F.pmod(F.xxhash64(ids.columns[0], i, F.lit(s)), F.lit(1 << 53)) + F.lit(0.5)) / F.lit(float(1 << 53))
+    if normal:
+        value = lambda i: F.sqrt(-2 * F.log(even(i, seed))) * F.cos(2 * math.pi * even(i, seed + 1))
+    else:
+        value = lambda i: 2 * even(i, seed) - 1
+    return ids.withColumn("embedding", F.transform(F.sequence(F.lit(1), F.lit(dim)), value).cast("array<float>"))
+
+
 def mean_vector(data: DataFrame, vec: str = "embedding") -> DataFrame:
     """(pos, mean, std): population deviation, in double. One aggregate over exploded values; its result has a row per dimension."""
     e = data.select(F.posexplode(F.col(vec).cast("array<double>")).alias("pos", "x"))
@@ -319,9 +392,21 @@ def silhouette(data: DataFrame, cluster: str, vec_id: str = "vec_id", vec: str =
 
 
 def pairwise(a: DataFrame, b: DataFrame, metric: str, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """(a, b, distance) for two stated sets; b goes in blocks, as in knn_join."""
-    out = knn_join(a, b, 1 << 30, metric, vec_id, vec)
-    return out.select(F.col("vec_id").alias("a"), F.col("query_id").alias("b"), "distance")
+    """(a, b, distance) of two stated sets, of which b has at most QUERY_BLOCK vectors (else ValueError): b is broadcast, a is not shuffled."""
+    rows = b.select(vec_id, vec).limit(QUERY_BLOCK + 1).collect()
+    if len(rows) > QUERY_BLOCK:
+        raise ValueError(f"more than {QUERY_BLOCK} vectors on the second side: use knn_join for neighbours")
+    held = a.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], float)))
+
+    def run(parts):
+        ids, mat = held.value
+        for p in parts:
+            for at in range(0, len(p) if len(ids) else 0, 1024):
+                own = p.iloc[at : at + 1024]
+                d = _distances(np.stack(own[vec].to_numpy()).astype(float), mat, metric)
+                yield pd.DataFrame({"a": np.repeat(own[vec_id].to_numpy(), len(ids)), "b": np.tile(ids, len(own)), "distance": d.ravel()})
+
+    return a.select(vec_id, vec).mapInPandas(run, "a long, b long, distance double")
 
 
 def paired_t(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:

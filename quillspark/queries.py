@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import scoring, text
-from quillspark.operators import graph, integrity, relational, search, structures, vectors, versioned
+from quillspark.operators import graph, hnsw, integrity, relational, search, structures, vectors, versioned
 from quillspark.plans import boolean, pattern
 from quillspark.session import load, new_path, ready, written
 from quillspark.sources import tables
@@ -624,8 +624,13 @@ def _ivf(**options):
     return run
 
 
-register(name="ivf_recall")(_recall(_ivf(lists=16, probes=8)))
-register(name="ivfpq_recall")(_recall(_ivf(lists=8, probes=6, parts=16)))
+def _hnsw(e, q):
+    return hnsw.search(hnsw.build(e), q, 10)
+
+
+register(name="hnsw_recall")(_recall(_hnsw))
+register(name="ivf_recall")(_recall(_ivf(lists=16, probes=12)))
+register(name="ivfpq_recall")(_recall(_ivf(lists=8, probes=7, parts=32)))
 register(name="lsh_recall")(_recall(lambda e, q: vectors.lsh(e, q, 10)))
 
 
