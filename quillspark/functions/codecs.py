@@ -270,6 +270,55 @@ def column_codec(f: Callable, kind: str):
 
     @F.pandas_udf(kind)
     def g(a: pd.Series) -> pd.Series:
-        return a.map(lambda x: None if x is None else f(list(x) if hasattr(x, "tolist") else x))
+        return a.map(lambda x: None if x is None else f(x.tolist() if hasattr(x, "tolist") else x))
 
     return g
+
+
+def compression_ratio(raw: int, packed: int) -> float:
+    """Raw over packed size; 0 if nothing is left."""
+    return raw / packed if packed else 0.0
+
+
+#: Codes of compression kinds, and of request kinds with their highest versions.
+COMPRESSIONS = {0: "none", 1: "gzip", 2: "snappy", 3: "lz4"}
+REQUESTS = {0: ("produce", 3), 1: ("fetch", 4), 2: ("list_offsets", 1), 3: ("metadata", 1), 8: ("offset_commit", 2), 9: ("offset_fetch", 2), 18: ("api_versions", 1)}
+
+
+def supports(kind: int, version: int) -> bool:
+    return kind in REQUESTS and 0 <= version <= REQUESTS[kind][1]
+
+
+def message_set_encode(base: int, records: list[tuple[int, bytes, bytes]]) -> bytes:
+    """Records (timestamp, key, value) with a base offset: base (8 bytes), their number (4), then each record's length (4) and envelope."""
+    parts = [struct.pack(">qI", base, len(records))]
+    for ts, key, value in records:
+        body = envelope_encode(ts, key, value)
+        parts += [struct.pack(">I", len(body)), body]
+    return b"".join(parts)
+
+
+def message_set_decode(data: bytes) -> tuple[int, list[tuple[int, bytes, bytes]]]:
+    base, n = struct.unpack_from(">qI", data)
+    at, out = 12, []
+    for _ in range(n):
+        size = struct.unpack_from(">I", data, at)[0]
+        out.append(envelope_decode(data[at + 4 : at + 4 + size])[:3])
+        at += 4 + size
+    return base, out
+
+
+def request_encode(kind: int, version: int, correlation: int, client: str, body: bytes) -> bytes:
+    """A framed request: length (4), kind (2), version (2), correlation (4), client's name with its length (2), body. All big-endian."""
+    if not supports(kind, version):
+        raise ValueError(f"request {kind} version {version}")
+    name = client.encode()
+    head = struct.pack(">hhih", kind, version, correlation, len(name)) + name
+    return struct.pack(">I", len(head) + len(body)) + head + body
+
+
+def request_decode(data: bytes) -> tuple[int, int, int, str, bytes]:
+    if len(data) < 14 or struct.unpack_from(">I", data)[0] != len(data) - 4:
+        raise ValueError("not a whole request")
+    kind, version, correlation, n = struct.unpack_from(">hhih", data, 4)
+    return kind, version, correlation, data[14 : 14 + n].decode(), data[14 + n :]

@@ -180,3 +180,18 @@ def simulate_caches(trace: DataFrame, shard: str, order: str, key: str, capacity
 
     kind = trace.schema[shard].dataType.simpleString()
     return trace.groupBy(shard).applyInPandas(run, f"shard {kind}, policy string, accesses long, hits long")
+
+
+def quorum(placed: DataFrame, alive: list[str], need: int) -> DataFrame:
+    """placed (with owners) with answers (owners that are alive) and whether they reach the quorum."""
+    answers = F.size(F.array_intersect("owners", F.array(*[F.lit(n) for n in alive])))
+    return placed.withColumn("answers", answers).withColumn("reached", F.col("answers") >= need)
+
+
+def drain_hints(hints: DataFrame, node: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """hints: node, key, value, seq. Those for a node in order (at most so many), and what is left."""
+    own = hints.where(F.col("node") == node).orderBy("seq")
+    if most is None:
+        return own, hints.where(F.col("node") != node)
+    own = own.limit(most)
+    return own, hints.join(own.select("node", "seq"), ["node", "seq"], "left_anti")

@@ -138,3 +138,36 @@ def cell_latest(cells: DataFrame, keys: list[str], ts: str, value: str, deleted:
 
 def cell_scan(cells: DataFrame, row: str, low, high, family: str, name: str) -> DataFrame:
     return cells.where(F.col(row).between(low, high) & (F.col(family) == name))
+
+
+# -- policies ----------------------------------------------------------------
+def universal_pick(runs: DataFrame, threshold: int) -> DataFrame:
+    """All runs of the lowest level once there are threshold of them, else none."""
+    return runs if runs.limit(threshold).count() >= threshold else runs.where("false")
+
+
+def needs_compaction(runs_in_level: dict[int, int], level0: int = 4, growth: int = 10) -> int | None:
+    """The first level with too many runs: level0 of them in level 0, growth times as many in each next one."""
+    for level in sorted(runs_in_level):
+        if runs_in_level[level] >= level0 * growth**level:
+            return level
+    return None
+
+
+def split_tablet(tablets: list[tuple], row) -> list[tuple]:
+    """Tablets (from, to; to is not in it, None is open) with the one that holds row cut there; a row at a bound cuts nothing."""
+    out: list[tuple] = []
+    for low, high in tablets:
+        inside = (low is None or row > low) and (high is None or row < high)
+        out += [(low, row), (row, high)] if inside else [(low, high)]
+    return out
+
+
+def tablet_of(row: Column, tablets: list[tuple]) -> Column:
+    """Number of the tablet that holds a row; tablets ascend and cover all rows."""
+    return sum((F.when(row >= F.lit(low), 1).otherwise(0) for low, _ in tablets[1:]), F.lit(0))
+
+
+def needed_collection(collections: dict[str, DataFrame], name: str, schema: str, spark) -> DataFrame:
+    """A document collection by name, made empty if it is new."""
+    return collections.setdefault(name, spark.createDataFrame([], schema))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import gc
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,29 +37,52 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "
 BATCH_ROWS = "2048"
 
 
+def _local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
+def _ship(spark: SparkSession) -> None:
+    """Gives workers this package: by path in one process, else as an archive that Spark sends to executors."""
+    sc = spark.sparkContext
+    if _local(spark):
+        known = sc.environment.get("PYTHONPATH", "")
+        if ROOT not in known.split(os.pathsep):
+            sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
+        return
+    if getattr(sc, "_quillspark_sent", False):
+        return
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for folder, _, names in sorted(os.walk(os.path.join(ROOT, "quillspark"))):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), ROOT))
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillspark-{uuid.uuid4().hex}.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    sc.addPyFile(path.toString())
+    sc._quillspark_sent = True
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package, keeps Arrow batches small unless they are set, and gives the session a checkpoint folder if it has none."""
+    """Lets Python workers import this package, keeps Arrow batches small unless they are set, and gives a local session a checkpoint folder if it has none."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    sc = spark.sparkContext
-    known = sc.environment.get("PYTHONPATH", "")
-    if ROOT not in known.split(os.pathsep):
-        sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
     shared_dir(spark)
+    _ship(spark)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets one of its own and any other raises."""
     sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not _local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
         where = sc.getCheckpointDir()
-        if not where:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
-            where = sc.getCheckpointDir()
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(where)
     return where.rstrip("/")
 
 

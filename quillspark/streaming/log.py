@@ -5,6 +5,8 @@ A log is a DataFrame of topic, partition, offset, timestamp (ms), key and value;
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,3 +106,26 @@ def elect(votes: DataFrame) -> DataFrame:
     """votes: voter, candidate, cast_seq. A voter's first vote counts; most votes win, ties go to the smallest candidate."""
     first = votes.groupBy("voter").agg(F.min_by("candidate", "cast_seq").alias("candidate"))
     return first.groupBy("candidate").agg(F.count("*").alias("votes")).orderBy(F.desc("votes"), "candidate").limit(1)
+
+
+@dataclass(frozen=True)
+class CleanerConfig:
+    """What a cleaner keeps: policy time (retention_ms), size (max_bytes) or compact."""
+
+    policy: str
+    retention_ms: int = 0
+    max_bytes: int = 0
+    tombstone_ms: int = 0
+
+    def __post_init__(self) -> None:
+        if self.policy not in ("time", "size", "compact") or (self.policy == "time" and self.retention_ms <= 0) or (self.policy == "size" and self.max_bytes <= 0):
+            raise ValueError(f"not a cleaner: {self}")
+
+
+def clean(log: DataFrame, config: CleanerConfig, now: int, segment: str = "segment", key: str = "key", value: str = "value", ts: str = "timestamp", offset: str = "offset", size: Column | None = None) -> DataFrame:
+    """What one cleaner cycle leaves of a log."""
+    if config.policy == "time":
+        return retained_by_time(log, segment, ts, now, config.retention_ms)
+    if config.policy == "size":
+        return retained_by_size(log, segment, F.lit(1) if size is None else size, config.max_bytes)
+    return without_old_tombstones(compacted(log, key, offset), key, value, ts, now, config.tombstone_ms)

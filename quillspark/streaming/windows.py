@@ -116,3 +116,15 @@ def running_totals(stream: DataFrame, key: str, value: str) -> DataFrame:
 
     kind = stream.schema[key].dataType.simpleString()
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
+
+
+def event_time_skew(events: DataFrame, event_ts: str, seen_ts: str) -> DataFrame:
+    """One row: mean seconds between an event's time and its arrival."""
+    seconds = lambda c: F.col(c).cast("timestamp").cast("double")
+    return events.agg(F.avg(seconds(seen_ts) - seconds(event_ts)).alias("skew_s"))
+
+
+def open_windows(events: DataFrame, ts: str, size: str, watermark) -> DataFrame:
+    """One row: tumbling windows with events that end after the watermark."""
+    w = events.select(F.window(ts, size).alias("w")).distinct()
+    return w.where(F.col("w.end") > F.lit(watermark)).agg(F.count("*").alias("open_windows"))
