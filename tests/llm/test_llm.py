@@ -541,10 +541,10 @@ def test_agreeing_as_sets():
     p, early = rnd.integers(1, 1 << 60, 46), rnd.integers(1, 1 << 60, 20)
     a = p.copy()
     b = np.r_[p[:30], early, p[:15], rnd.integers(1, 1 << 60, 4), p[15:]]  # inserted words; the first 30 also stand before
-    c, rc = 10, 60
-    got = passages.agreeing(a.astype(np.uint64), b.astype(np.uint64), (c, 0, 45, rc, 0, len(b) - 1), 46, 41)
-    assert got and got[0][:2] == (0, 45) and got[0][2] == 50
-    assert 0.2 ** passages.HASHES < 0.002
+    around = b[60 - 45 : 60 + 46]  # of the shingle that a holds at 10
+    got = passages.set_spans(a, around, 46, 41)
+    assert got and got[0][:2] == (0, 45) and got[0][2] == 50 - 15
+    assert 0.2**passages.HASHES < 0.002
 
 
 def test_two_passages_on_one_diagonal(spark):
