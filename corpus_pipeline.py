@@ -9,16 +9,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspark.llm import neardup, packing, passages, positional, quality
 from quillspark.llm.queries import tokenizer_path
 from quillspark.session import load, ready, written
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs but for those with a doc_id in gone (doc_id)."""
-    ids = gone.where("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(ids, docs.doc_id == F.col("__gone"), "left_anti")
+    name = _fresh(docs, "gone")
+    ids = gone.where("doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(ids, docs.doc_id == F.col(name), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +40,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(docs, width=5, percent=80)
     left = _without(docs, found.where("not kept"))
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+        # of rows with one id the one whose text has been compared stays
+        place = _fresh(docs, "place")
+        order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*docs.columns))
+        left = left.withColumn(place, F.row_number().over(order)).where((F.col(place) == 1) | F.col("doc_id").isNull()).drop(place)
     return left
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A passage of 50 words or more that nearly repeats stays in its smallest document only."""
-    return passages.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    out = passages.without_repeats(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
