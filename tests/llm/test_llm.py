@@ -642,3 +642,10 @@ def test_all_templates(spark):
     two = (("A", text), ("B", text + " again"))
     found = licenses.scan(frame(spark, [(1, text)]), templates=two).first()
     assert found.licenses == "A,B" and found.best_license == "A" and found.best_dice == 1.0
+
+
+def test_quality_with_clashing_columns(spark):
+    rows = frame(spark, [(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(80)), "en") for i in range(6)], "doc_id long, text string, lang string")
+    clash = rows.withColumns({"_lang": F.lit("x"), "_kept": F.lit(False), "_low": F.lit(1), "_n_words": F.lit(0)})
+    got = quality.passing(clash)
+    assert got.columns == clash.columns and {r.doc_id for r in got.collect()} == {r.doc_id for r in quality.passing(rows).collect()}
