@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -62,7 +63,7 @@ def test_columns(spark):
         scoring.overlap(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"))).alias("v"),
     ).first()
     assert row.j == pytest.approx(3 / 9) and row.l == 6 and row.o == 1 and row.r == ["b", "c"] and row.e == [] and row.h == {"a": 2} and row.p == []
-    assert row.g == ["ab", "bc", "cd", "abc", "bcd"] and row.d == pytest.approx(0.5) and row.v == 0.5
+    assert row.g == ["ab", "bc", "cd", "abc", "bcd"] and row.d == pytest.approx(0.5 * math.exp(-0.5) + 0.5) and row.v == 0.5
 
 
 def test_distances(spark):
