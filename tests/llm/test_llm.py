@@ -535,6 +535,34 @@ def test_frequent_line_inside_a_passage(spark, monkeypatch):
     assert not set(got) & set(range(20)) and all(got[i].n_later == 0 for i in (100, 105, 110))
 
 
+def test_classes_against_rows():
+    """Rows folded by their surroundings give what all rows give, each by itself."""
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(1, 1 << 60, (6, 91)).astype(np.uint64)
+    base[1] = base[0]
+    base[1, 60] += np.uint64(1)
+    base[2] = base[0]
+    base[2, [20, 70]] += np.uint64(1)
+    of, ids = np.r_[np.arange(6), rnd.integers(0, 6, 14)], np.arange(20)
+    every = passages.compare(np.zeros(20, np.int64), ids, ids, base[of], 46, 41)
+    head = np.unique(of, return_index=True)[1]
+    most = ids[head].copy()
+    np.maximum.at(most, of, ids)
+    folded = passages.compare(np.zeros(6, np.int64), ids[head], most, base, 46, 41)
+    for k, row in enumerate(head.tolist()):
+        if most[k] == row:
+            assert (every.covered[row] == folded.covered[k]).all() and every.lo[row] == folded.lo[k] and every.hi[row] == folded.hi[k]
+        else:
+            assert every.covered[row].all() and every.lo[row] == 0 and every.hi[row] == 90
+        assert every.later_lo[row] == folded.later_lo[k] and every.later_hi[row] == folded.later_hi[k]
+
+
+def test_joined_spans():
+    got = passages._joined(np.array([0, 0, 0, 2, 0]), np.array([5, 0, 9, 1, 20]), np.array([9, 3, 12, 4, 21]), 3).to_pylist()
+    assert [[(x["a"], x["b"]) for x in spans] for spans in got] == [[(0, 3), (5, 12), (20, 21)], [], [(1, 4)]]
+    assert passages._joined(*(np.zeros(0, np.int64) for _ in range(3)), 2).to_pylist() == [[], []]
+
+
 def test_agreeing_as_sets():
     """A dropped shingle group in a passage whose shingles also stand earlier in the other text."""
     rnd = np.random.default_rng(3)
