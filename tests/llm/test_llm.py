@@ -535,6 +535,41 @@ def test_frequent_line_inside_a_passage(spark, monkeypatch):
     assert not set(got) & set(range(20)) and all(got[i].n_later == 0 for i in (100, 105, 110))
 
 
+def _near_copies_round_a_line() -> dict[int, list[str]]:
+    """Texts round a line of 44 words: pairs that share a passage but for a changed, an added or no word, and texts that share the line alone."""
+    word = iter(range(10**6))
+    make = lambda n: [f"x{next(word)}" for _ in range(n)]
+    line = make(44)
+    docs = {i: [*make(40), *line, *make(40)] for i in range(30)}
+    for i in range(30):
+        left = i % 17 + 4
+        own = [*make(left), *line, *make(31 - left)]
+        for k, kind in enumerate(("as it is", "changed", "added")[: 2 + i % 2]):
+            text = own[:]
+            if kind != "as it is":
+                text[2 : 3 if kind == "changed" else 2] = make(1)
+            docs[100 * (k + 1) + i] = [*make(20), *text, *make(20)]
+    for i in range(400, 420):  # surroundings of several texts
+        docs[i] = [*make(10 + i % 2), *docs[100][:80], *make(7)]
+    for i in range(40):  # of what the passage holds beside the line one shingle agrees
+        own = make(5)
+        docs[500 + i], docs[600 + i] = ([*make(20), *own, x, *line, *make(20)] for x in make(2))
+    return docs
+
+
+def test_passages_do_not_depend_on_block(spark, monkeypatch):
+    """Groups of more than BLOCK windows give what they give when they are compared as a whole."""
+    rows = frame(spark, [(i, " ".join(w)) for i, w in _near_copies_round_a_line().items()])
+    found = []
+    for block in (16384, 40, 8):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        found.append(sorted(passages.repeated_passages(rows).collect()))
+    assert found[0] == found[1] == found[2]
+    got = {r.doc_id: r for r in found[0]}
+    assert not set(got) & set(range(30)) and set(got) == {i for i in _near_copies_round_a_line() if i >= 100}
+    assert all(r.n_repeated >= 50 for r in found[0]) and all(got[k + i].n_later == 0 and got[k + 100 + i].n_later for k, n in ((100, 30), (500, 40)) for i in range(n))
+
+
 def test_classes_against_rows():
     """Rows folded by their surroundings give what all rows give, each by itself."""
     rnd = np.random.default_rng(4)
