@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.bytesnp import NOT_BLANK, blocks, lower_ascii, shingle_hashes, span_hashes, text_buffer, words
+from quillspark.llm.bytesnp import NOT_BLANK, blocks, lower_ascii, shingle_hashes, span_hashes, text_buffer, tidy, words
 from quillspark.llm.components import components
 from quillspark.llm.packed import packed_of, unpack
 from quillspark.session import ready, release, written
@@ -81,7 +81,7 @@ def sketches(docs: DataFrame, width: int, k: int = SKETCH) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists], names=["id", "n", "f1", "f2", "sketch"])
 
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, sketch array<long>")
+    return docs.mapInArrow(tidy(run), "id long, n long, f1 long, f2 long, sketch array<long>")
 
 
 def estimate(a: Column, b: Column, k: int) -> Column:
@@ -118,7 +118,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, width: int,
                     keep.append(100 * both >= percent * (len(s) + len(set_y) - both) and both > 0)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(full.mapInArrow(compare, "x long, y long"), "links")
+    return written(full.mapInArrow(tidy(compare), "x long, y long"), "links")
 
 
 def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

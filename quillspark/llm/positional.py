@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.bytesnp import ALNUM, blocks, lower_ascii, repeat_ranges, span_hashes, text_buffer, words
+from quillspark.llm.bytesnp import ALNUM, blocks, lower_ascii, repeat_ranges, span_hashes, text_buffer, tidy, words
 from quillspark.session import ready, written
 
 SHARD_BYTES = 3 << 20
@@ -77,7 +77,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 shard += 1
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return written(d.mapInArrow(build, INDEX_SCHEMA), "positions")
+    return written(d.mapInArrow(tidy(build), INDEX_SCHEMA), "positions")
 
 
 class Shard:
@@ -223,7 +223,7 @@ def _search(index: DataFrame, block: QueryBlock) -> DataFrame:
                 columns = [pa.array([row["shard"]] * docs, pa.int64()), pa.array(range(docs), pa.int32()), pa.array(shard.doc_ids, pa.int64()), pa.array(row["n_words"], pa.int64()), spans, pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["shard", "place", "doc_id", "n_words", "spans", "items"])
 
-    return index.mapInArrow(search, "shard long, place int, doc_id long, n_words long, spans array<struct<a: long, b: long>>, items array<string>")
+    return index.mapInArrow(tidy(search), "shard long, place int, doc_id long, n_words long, spans array<struct<a: long, b: long>>, items array<string>")
 
 
 def _united(spans):
@@ -310,4 +310,4 @@ def _near(index: DataFrame, block: QueryBlock, slop: int) -> DataFrame:
                             kinds = (pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "item", "spans"])
 
-    return index.mapInArrow(search, "doc_id long, item string, spans array<struct<a: long, b: long>>")
+    return index.mapInArrow(tidy(search), "doc_id long, item string, spans array<struct<a: long, b: long>>")

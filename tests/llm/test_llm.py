@@ -693,6 +693,33 @@ def test_hash_of_patterns(spark, tools):
     assert {r.doc_id: r.contaminated for r in hit} == {1: True, 2: False}
 
 
+def test_memory_is_given_back():
+    """After a task of many arrays in the C library's heap, its worker's memory is about what it was before."""
+    import multiprocessing
+
+    with multiprocessing.get_context("spawn").Pool(1) as pool:
+        plain, given = pool.apply(_held, (False,)), pool.apply(_held, (True,))
+    assert plain > 150 and given < 50
+
+
+def _held(tidy: bool) -> float:
+    """MB of this process after a task less those before it."""
+    size = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+    pins = []
+
+    def run(batches):
+        np.ones(30 << 20, np.uint8)  # from then on the C library takes arrays of this size from its heap
+        arrays = [np.ones(1 << 20, np.uint8) for _ in range(300)]
+        pins.append(np.ones(1 << 20, np.uint8))  # the heap cannot shrink from its end
+        del arrays
+        yield from batches
+
+    bytesnp.give_back()
+    before = size()
+    assert list((bytesnp.tidy(run) if tidy else run)(iter(()))) == []
+    return size() - before
+
+
 def test_short_spans_never_meet():
     spans = [bytes([a, b]) for a in range(60) for b in range(60)] + [bytes([a]) for a in range(60)]
     raw = np.frombuffer(b"".join(spans), np.uint8)
