@@ -47,6 +47,30 @@ def term_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return raw[repeat_ranges(starts, ends - starts)]
 
 
+def _shard_row(shard: int, doc_ids: list[int], part: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
+    """The index of some texts. Its arrays go before the next shard's are made."""
+    starts, ends, bounds = words(part, off, ALNUM)
+    h, check = span_hashes(part, starts, ends), span_hashes(part, starts, ends, 1)
+    order = np.argsort(h, kind="stable").astype(np.int32)
+    h, sorted_c = h[order], check[order]
+    new = h[1:] != h[:-1]
+    if ((sorted_c[1:] != sorted_c[:-1]) > new).any():  # two words of one hash
+        again = np.lexsort((sorted_c, h))  # stable, so words of one term stay in order
+        order, h, sorted_c = order[again], h[again], sorted_c[again]
+        new = (h[1:] != h[:-1]) | (sorted_c[1:] != sorted_c[:-1])
+    del check, sorted_c
+    first = np.flatnonzero(np.r_[True, new]) if len(h) else np.zeros(0, np.int64)
+    counts = np.diff(np.r_[first, len(h)])
+    h = h[first]
+    gaps = np.diff(order, prepend=np.int32(0))
+    gaps[first] = order[first]
+    s, e = starts[order[first]], ends[order[first]]
+    del starts, ends, order
+    row = [shard, doc_ids, np.diff(bounds), _z(h.astype("<u8")), _z((e - s).astype("<u4")), _z(term_bytes(part, s, e)), _z(counts.astype("<u4")), _z(gaps.astype("<u4"))]
+    kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 5)
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=_NAMES)
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes the index of all whole texts and returns it. Null texts have no words; rows with equal ids stay apart."""
     ready(docs.sparkSession)
@@ -56,24 +80,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             raw, offsets = text_buffer(batch.column(1))
             for a, b in blocks(offsets, shard_bytes):
-                part, off = lower_ascii(raw[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
-                starts, ends, bounds = words(part, off, ALNUM)
-                h, check = span_hashes(part, starts, ends), span_hashes(part, starts, ends, 1)
-                order = np.argsort(h, kind="stable")
-                sorted_h, sorted_c = h[order], check[order]
-                new = sorted_h[1:] != sorted_h[:-1]
-                if ((sorted_c[1:] != sorted_c[:-1]) > new).any():  # two words of one hash
-                    order = np.lexsort((check, h))
-                    sorted_h, sorted_c = h[order], check[order]
-                    new = (sorted_h[1:] != sorted_h[:-1]) | (sorted_c[1:] != sorted_c[:-1])
-                first = np.flatnonzero(np.r_[True, new]) if len(h) else np.zeros(0, np.int64)
-                counts = np.diff(np.r_[first, len(h)])
-                gaps = np.diff(order, prepend=0)
-                gaps[first] = order[first]
-                s, e = starts[order[first]], ends[order[first]]
-                row = [shard, batch.column(0)[a:b].to_pylist(), np.diff(bounds), _z(sorted_h[first].astype("<u8")), _z((e - s).astype("<u4")), _z(term_bytes(part, s, e)), _z(counts.astype("<u4")), _z(gaps.astype("<u4"))]
-                kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 5)
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=_NAMES)
+                yield _shard_row(shard, batch.column(0)[a:b].to_pylist(), lower_ascii(raw[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a])
                 shard += 1
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -187,41 +194,44 @@ class QueryBlock:
             self.windows.append((np.array(list(by), np.int64).reshape(-1, width), np.cumsum([0, *map(len, owners)]), np.array([k for o in owners for k in sorted(o)], np.int64)))
 
 
+def _hits(row: dict, q: QueryBlock) -> pa.RecordBatch:
+    """One row per text of a shard. What the search holds goes before the next shard is opened."""
+    shard = Shard(row)
+    ids = shard.term_ids(q.names, q.hashes)
+    edge, owned = np.zeros(shard.n + 1, np.int32), []
+    for terms, first, owners in q.windows:
+        phrase, start = shard.phrases(ids[terms])
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + terms.shape[1], -1)
+        n = first[phrase + 1] - first[phrase]
+        doc = np.searchsorted(shard.bounds, start, "right") - 1
+        owned.append(np.unique(np.repeat(doc, n) * len(q.items) + owners[repeat_ranges(first[phrase], n)]))
+    hit = (np.cumsum(edge[:-1]) > 0).astype(np.int8)
+    docs = len(shard.doc_ids)
+    edges = np.diff(hit, prepend=np.int8(0), append=np.int8(0))
+    # a span stops where its text does
+    inner = shard.bounds[1:-1]
+    inner = np.unique(inner[(inner > 0) & (inner < shard.n)])
+    cuts = inner[(hit[inner - 1] == 1) & (hit[inner] == 1)] if len(inner) else inner
+    a, b = np.sort(np.r_[np.flatnonzero(edges == 1), cuts]), np.sort(np.r_[np.flatnonzero(edges == -1), cuts])
+    doc = np.searchsorted(shard.bounds, a, "right") - 1
+    pairs = pa.StructArray.from_arrays([pa.array(a - shard.bounds[doc]), pa.array(b - shard.bounds[doc])], ["a", "b"])
+    spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(docs + 1)), pa.int32()), pairs)
+    items: list[list[str]] = [[] for _ in range(docs)]
+    for x in np.unique(np.concatenate(owned)).tolist() if owned else ():
+        items[x // len(q.items)].append(q.items[x % len(q.items)])
+    columns = [pa.array([row["shard"]] * docs, pa.int64()), pa.array(range(docs), pa.int32()), pa.array(shard.doc_ids, pa.int64()), pa.array(row["n_words"], pa.int64()), spans, pa.array(items, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, names=["shard", "place", "doc_id", "n_words", "spans", "items"])
+
+
 def _search(index: DataFrame, block: QueryBlock) -> DataFrame:
     """One row per text: shard, place, doc_id, n_words, spans (words hit, from a up to b) and items."""
     held = index.sparkSession.sparkContext.broadcast(block)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = held.value
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {name: batch.column(i)[k].as_py() for i, name in enumerate(_NAMES)}
-                shard = Shard(row)
-                ids = shard.term_ids(q.names, q.hashes)
-                edge, owned = np.zeros(shard.n + 1, np.int64), []
-                for terms, first, owners in q.windows:
-                    phrase, start = shard.phrases(ids[terms])
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + terms.shape[1], -1)
-                    n = first[phrase + 1] - first[phrase]
-                    doc = np.searchsorted(shard.bounds, start, "right") - 1
-                    owned.append(np.unique(np.repeat(doc, n) * len(q.items) + owners[repeat_ranges(first[phrase], n)]))
-                hit = (np.cumsum(edge[:-1]) > 0).astype(np.int8)
-                docs = len(shard.doc_ids)
-                edges = np.diff(hit, prepend=0, append=0)
-                # a span stops where its text does
-                inner = shard.bounds[1:-1]
-                inner = np.unique(inner[(inner > 0) & (inner < shard.n)])
-                cuts = inner[(hit[inner - 1] == 1) & (hit[inner] == 1)] if len(inner) else inner
-                a, b = np.sort(np.r_[np.flatnonzero(edges == 1), cuts]), np.sort(np.r_[np.flatnonzero(edges == -1), cuts])
-                doc = np.searchsorted(shard.bounds, a, "right") - 1
-                pairs = pa.StructArray.from_arrays([pa.array(a - shard.bounds[doc]), pa.array(b - shard.bounds[doc])], ["a", "b"])
-                spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(docs + 1)), pa.int32()), pairs)
-                items: list[list[str]] = [[] for _ in range(docs)]
-                for x in np.unique(np.concatenate(owned)).tolist() if owned else ():
-                    items[x // len(q.items)].append(q.items[x % len(q.items)])
-                columns = [pa.array([row["shard"]] * docs, pa.int64()), pa.array(range(docs), pa.int32()), pa.array(shard.doc_ids, pa.int64()), pa.array(row["n_words"], pa.int64()), spans, pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["shard", "place", "doc_id", "n_words", "spans", "items"])
+                yield _hits({name: batch.column(i)[k].as_py() for i, name in enumerate(_NAMES)}, held.value)
 
     return index.mapInArrow(tidy(search), "shard long, place int, doc_id long, n_words long, spans array<struct<a: long, b: long>>, items array<string>")
 

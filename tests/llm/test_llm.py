@@ -5,7 +5,9 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -173,6 +175,40 @@ def test_contamination(spark, query_bytes):
     assert not positional.contamination(frame(spark, docs), frame(spark, [], "item_id long, text string")).where("contaminated").count()
 
 
+def test_shards_one_after_the_other(spark, monkeypatch):
+    """Building and searching an index hold the arrays of one shard at a time."""
+
+    class Table:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    monkeypatch.setattr(positional, "written", lambda table, name: table)
+    monkeypatch.setattr(positional, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rnd = random.Random(3)
+    vocabulary = ["".join(rnd.choices("etaoin", k=rnd.randint(2, 9))) for _ in range(20_000)]
+    docs = [" ".join(rnd.choices(vocabulary, k=2000)) for _ in range(400)]
+    batch = pa.record_batch([pa.array(range(len(docs))), pa.array(docs)], ["id", "text"])
+    size = 1 << 20
+    block = positional.QueryBlock([(str(i), t[:3000]) for i, t in enumerate(docs[::20])], 10)
+    peaks, held = [], iter([batch])
+    for table in (positional.build_index(Table(), shard_bytes=size), positional._search(Table(), block)):
+        tracemalloc.start()
+        out = []
+        for row in table.run(held):
+            out.append(row)
+        peaks.append(tracemalloc.get_traced_memory()[1] / size)
+        tracemalloc.stop()
+        held = iter(out)
+    assert sum(bool(x) for r in out for x in r.column(5).to_pylist()) == 20
+    assert peaks[0] < 16 and peaks[1] < 11.3  # times a shard's bytes
+
+
 def test_proximity(spark):
     shard = positional.Shard(positional.build_index(frame(spark, [(1, "a x b y y a b"), (2, "b a")]).coalesce(1)).first().asDict())
     names = [b"a", b"b"]
