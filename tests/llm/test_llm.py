@@ -606,6 +606,44 @@ def test_passages_do_not_depend_on_block(spark, monkeypatch):
     assert all(r.n_repeated >= 50 for r in found[0]) and all(got[k + i].n_later == 0 and got[k + 100 + i].n_later for k, n in ((100, 30), (500, 40)) for i in range(n))
 
 
+def test_smallest_partner_at_any_block(spark, monkeypatch):
+    """The counts, the spans and the smallest document are those of all partners, however a group is cut: texts round a line, each with changed words of its own."""
+    rnd = random.Random(21)
+    line, around = [f"l{i}" for i in range(46)], [[f"a{k}x{i}" for i in range(16)] for k in range(3)]
+    docs = {}
+    for i in range(60):
+        left, right = (list(around[rnd.randrange(3)]) for _ in range(2))
+        for side in (left, right):
+            side[rnd.randrange(16)] = f"own{i}" if rnd.random() < 0.7 else side[0]
+        docs[i] = " ".join([f"b{i}", *left, *line, *right, f"e{i}"])
+    rows = frame(spark, list(docs.items()))
+    found = []
+    for block in (16384, 24, 6):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        found.append(sorted((r.doc_id, r.n_repeated, r.n_later, r.first_doc_id, r.spans, r.later_spans) for r in passages.repeated_passages(rows).collect()))
+    assert len(found[0]) > 40 and found[0] == found[1] == found[2]
+
+
+def test_smallest_partner_of_all():
+    """Each row's smallest other document and what agrees with smaller ones, against all pairs laid over each other."""
+    rnd = np.random.default_rng(6)
+    kinds = rnd.integers(1, 1 << 60, (4, 91)).astype(np.uint64)
+    x = kinds[rnd.integers(0, 4, 120)]
+    x[:, 20:60] = kinds[0, 20:60]
+    for row in x:
+        for at in rnd.integers(0, 87, 2):
+            row[at : at + 5] = rnd.integers(1, 1 << 60, 5)
+    ids = np.arange(120)
+    found = passages.compare(np.zeros(120, np.int64), ids, ids, x, 46, 41)
+    late = 0
+    for i in range(120):
+        agree = [(passages._slide(x[i : i + 1] == x[j : j + 1], 46) >= 41).any() for j in range(120)]
+        other = min((j for j in range(120) if j != i and agree[j]), default=passages._NONE)
+        late += other < i
+        assert found.other[i] == other and (found.later_hi[i] >= 0) == (other < i)
+    assert late > 20
+
+
 def test_classes_against_rows():
     """Rows folded by their surroundings give what all rows give, each by itself."""
     rnd = np.random.default_rng(4)
