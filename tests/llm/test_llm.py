@@ -644,6 +644,36 @@ def test_smallest_partner_of_all():
     assert late > 20
 
 
+def test_partners_in_turn(monkeypatch):
+    """Rows that agree with very many are compared with the first ones only; the first two rows of the group agree with each other alone."""
+    x = np.tile(np.arange(1, 92, dtype=np.uint64), (60, 1))
+    x[:2] += np.uint64(1000)
+    x[:, 45] = 1
+    for place in (22, 68):  # no window is equal in two rows
+        x[:, place] = np.arange(5000 + 100 * place, 5060 + 100 * place)
+    pairs, lay = [], passages._on_diagonal
+    monkeypatch.setattr(passages, "_on_diagonal", lambda found, rows, *rest: pairs.append(len(rows)) or lay(found, rows, *rest))
+    ids = np.arange(60)
+    found = passages.compare(np.zeros(60, np.int64), ids, ids, x, 46, 41)
+    assert found.other.tolist() == [1, 0, 3, *[2] * 57]
+    assert (found.lo == 0).all() and (found.hi == 90).all() and (found.later_hi[3:] == 90).all()
+    assert sum(pairs) < 600
+
+
+def test_marks_never_miss():
+    rnd = np.random.default_rng(5)
+    x = rnd.integers(0, 3000, (40, 91)).astype(np.int32)
+    x[::2, :50] = x[1::2, 20:70]
+    x[::5, 60:] = x[::5, :31]  # numbers that stand twice
+    marks = passages.Marks(x)
+    r, q = (k.ravel() for k in np.meshgrid(np.arange(40), np.arange(40)))
+    has = np.array([np.isin(x[j], x[i]) & (x[j] > 0) for i, j in zip(r, q, strict=True)])
+    back = np.array([np.isin(x[i], x[j]) & (x[i] > 0) for i, j in zip(r, q, strict=True)])
+    assert not (has & ~marks.holds(r, x[q])).any()
+    assert marks.may_share(r, q, 30)[np.minimum(has.sum(1), back.sum(1)) >= 30].all()
+    assert all(marks.last[i, j] == (x[i, j] not in x[i, j + 1 :]) for i in range(40) for j in range(91))
+
+
 def test_classes_against_rows():
     """Rows folded by their surroundings give what all rows give, each by itself."""
     rnd = np.random.default_rng(4)
