@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillspark.llm import bytesnp, chat, licenses, neardup, packing, passages, positional, pretokens, quality, transducer, urls, wavelet
+from quillspark.llm import bytesnp, chat, licenses, neardup, packing, passages, positional, pretokens, quality, transducer, urls, wavelet, wordgrams
 from quillspark.llm.queries import ORACLE_SQL, QUERIES, URL_RULES, tokenizer_path
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
@@ -478,6 +478,74 @@ def test_unseen_grams():
         assert p.sum() == pytest.approx(1, abs=1e-4) and (p > 0).all()
 
 
+def test_word_model(spark, monkeypatch):
+    """Perplexities over words against a model in dictionaries, whatever is pruned and however often tasks send."""
+    monkeypatch.setattr(wordgrams, "HELD", 500)
+    rnd = random.Random(12)
+    rows = [(i, " ".join(rnd.choices(["the", "cat", "sat", "on", "a", "mat", "\u00e9t\u00e9"], [9, 5, 4, 3, 3, 2, 1], k=40) + [f"once{i}"]), "en") for i in range(60)] + [(99, "", "en")]
+    got = {r.doc_id: r for r in quality.quality(frame(spark, rows, "doc_id long, text string, lang string"), min_words=0, repeat_percent=100, unit="word").collect()}
+    often = collections.Counter(w for _, t, _ in rows for w in t.split())
+    kept = {w for w, n in often.items() if n >= 3}
+    texts = {d: ["", "", *(w if w in kept else None for w in t.split())] for d, t, _ in rows}
+    c3 = collections.Counter(g for s in texts.values() for g in zip(s, s[1:], s[2:], strict=False))
+    raw2 = collections.Counter()
+    for g, n in c3.items():
+        raw2[g[1:]] += n
+    c2 = collections.Counter(g[1:] for g in c3)
+    c1, total1 = collections.Counter(g[1] for g in c2), collections.Counter()
+    for g, n in c2.items():
+        total1[g[0]] += n
+
+    def discounts(counts):
+        n = collections.Counter(counts.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        return [0] + [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0), k) if n[k] else 0.5 for k in (1, 2, 3)]
+
+    d1, d2, d3 = map(discounts, (c1, c2, c3))
+    own1 = {w: (n - d1[min(n, 3)]) / sum(c1.values()) for w, n in c1.items()}
+    p1 = lambda w: own1.get(w, 0) + (1 - sum(own1.values())) / (len(kept) + 1)
+    own2 = {g: (n - d2[min(n, 3)]) / total1[g[0]] for g, n in c2.items() if raw2[g] >= 3}
+    p2 = lambda y, z: own2.get((y, z), 0) + (1 - sum(v for g, v in own2.items() if g[0] == y)) * p1(z)
+    three, total2 = {g: n for g, n in c3.items() if n >= 3}, collections.Counter()
+    for g, n in three.items():
+        total2[g[:2]] += n
+    total2 = {c: max(n, raw2[c] if raw2[c] >= 3 else 0) for c, n in total2.items()}
+    own3 = {g: (n - d3[min(n, 3)]) / total2[g[:2]] for g, n in three.items()}
+    left = collections.Counter()
+    for g, v in own3.items():
+        left[g[:2]] += v
+    for d, s in texts.items():
+        if d == 99:
+            assert got[d].log_perplexity is None
+            continue
+        want = -np.mean([np.log(own3.get(g, 0) + (1 - left[g[:2]]) * p2(*g[1:])) - (g[2] is None) * np.log(len(often) - len(kept)) for g in zip(s, s[1:], s[2:], strict=False)])
+        assert got[d].log_perplexity == pytest.approx(want, abs=1e-4)
+
+
+def test_word_order_counts(spark):
+    """The query's model tells texts in order from the same words in disorder, letters in other scripts from each other, and grows with the corpus."""
+    rnd = random.Random(13)
+    follows = {w: rnd.sample(range(200), 4) for w in range(200)}
+
+    def prose():
+        out = [rnd.randrange(200)]
+        while len(out) < 120:
+            out.append(rnd.choice(follows[out[-1]]))
+        return [f"\u0434{w}\u0436" for w in out]
+
+    rows = [(i, " ".join(prose()), "ru") for i in range(300)]
+    rows += [(1000 + i, " ".join(rnd.sample(x := prose(), len(x))), "ru") for i in range(12)]
+    got = {r.doc_id: r for r in quality.quality(frame(spark, rows, "doc_id long, text string, lang string"), repeat_percent=100, unit="word").collect()}
+    assert not any(got[1000 + i].kept for i in range(12)) and sum(got[i].kept for i in range(300)) >= 291
+
+
+def test_word_model_of_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LANGUAGES", 2)
+    rows = [(i, f"words of a text {i}" if i < 9 else "", f"l{i % 5}" if i < 9 else "only-empty") for i in range(12)]
+    assert quality.passing(frame(spark, rows, "doc_id long, text string, lang string"), min_words=0, unit="word").count() == 12
+    assert quality.quality(frame(spark, [], "doc_id long, text string, lang string"), unit="word").count() == 0
+
+
 def test_many_languages(spark, monkeypatch):
     monkeypatch.setattr(quality, "LANGUAGES", 2)
     rows = [(i, f"words of a text {i}" if i < 9 else "", f"l{i % 5}" if i < 9 else "only-empty") for i in range(12)]
