@@ -19,7 +19,7 @@ import os
 
 import numpy as np
 
-from quillspark.llm.bytesnp import blocks, repeat_ranges, span_hashes
+from quillspark.llm.bytesnp import blocks, kept, repeat_ranges, span_hashes
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Endings after an apostrophe that both files' patterns keep as one pre-token.
@@ -322,11 +322,8 @@ class Encoder:
         return np.concatenate(all_ids), np.concatenate(all_counts)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """This worker's encoder for a file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """This worker's encoder for a file, kept until a task under tidy() runs in the worker."""
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]

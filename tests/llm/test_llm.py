@@ -892,6 +892,23 @@ def _held(tidy: bool) -> float:
     return size() - before
 
 
+def test_tidy_tasks_drop_what_others_keep():
+    """An encoder and its tables stay for the next task of their own function, not through tasks of others."""
+    from pyspark import cloudpickle
+
+    path = tokenizer_path(FILES[0])
+    enc = pretokens.encoder(path)
+    assert pretokens.encoder(path) is enc
+
+    def run(batches):
+        from quillspark.llm import bytesnp
+
+        yield list(bytesnp.kept)
+
+    sent = cloudpickle.loads(cloudpickle.dumps(bytesnp.tidy(run)))  # as workers get it
+    assert list(bytesnp.kept) == [path] and list(sent(iter(()))) == [[]] and pretokens.encoder(path) is not enc
+
+
 def test_short_spans_never_meet():
     spans = [bytes([a, b]) for a in range(60) for b in range(60)] + [bytes([a]) for a in range(60)]
     raw = np.frombuffer(b"".join(spans), np.uint8)
