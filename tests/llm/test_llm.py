@@ -728,6 +728,22 @@ def test_partners_in_turn(monkeypatch):
     assert sum(pairs) < 600
 
 
+def test_rows_that_agree_in_place_need_no_marks(monkeypatch):
+    """What agrees on the diagonal is neither looked up in the marks nor, where it tells no window anything, added; two rows whose words are moved are."""
+    x = np.tile(np.arange(1, 92, dtype=np.uint64), (60, 1))
+    for place in (22, 68):  # no window is equal in two rows
+        x[:, place] = np.arange(5000 + 100 * place, 5060 + 100 * place)
+    marked, added, holds, add = [], [], passages.Marks.holds, passages.Found.add
+    monkeypatch.setattr(passages.Marks, "holds", lambda self, rows, numbers: marked.append(len(rows)) or holds(self, rows, numbers))
+    monkeypatch.setattr(passages.Found, "add", lambda self, rows, *rest: added.append(len(set(rows.tolist()))) or add(self, rows, *rest))
+    ids = np.arange(60)
+    found = passages.compare(np.zeros(60, np.int64), ids, ids, x, 46, 41)
+    assert found.other.tolist() == [1, *[0] * 59] and sum(marked) == 0 and sum(added) <= 120
+    x[50:, 1:] = x[50:, :-1].copy()
+    found = passages.compare(np.zeros(60, np.int64), ids, ids, x, 46, 41)
+    assert found.other.tolist() == [1, *[0] * 59] and sum(marked) > 0
+
+
 def test_marks_never_miss():
     rnd = np.random.default_rng(5)
     x = rnd.integers(0, 3000, (40, 91)).astype(np.int32)
