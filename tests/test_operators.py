@@ -12,6 +12,21 @@ def test_join_keeps_duplicates(spark):
     assert {r.rows for r in relational.compare_strategies(o, u, "uid").collect()} == {7}
 
 
+def test_nested_loops_stay_in_buckets(spark):
+    a = spark.createDataFrame([(i % 50 if i % 7 else None, i) for i in range(400)], "k long, x int")
+    b = spark.createDataFrame([(i % 60 if i % 9 else None, -i) for i in range(200)], "k long, y int")
+    shown = lambda df: sorted(map(str, df.collect()))
+    for how in ("inner", "left", "right", "full", "left_semi", "left_anti"):
+        one = relational.join(a, b, "k", how, "nested_loop")
+        want = a.join(b, "k", how)
+        assert one.columns == want.columns and shown(one) == shown(want), how
+    c = b.withColumnRenamed("k", "j")
+    one = relational.join(a, c, [("k", "j")], strategy="nested_loop")
+    assert shown(one) == shown(a.join(c, a.k == c.j))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan and "xxhash64" in plan
+
+
 def test_versions(spark):
     v = versioned.Versions(spark.createDataFrame([("a", "1", 1, False), ("a", "2", 3, False), ("b", "x", 2, False)], "k string, v string, seqno long, is_deleted boolean"))
     v = v.delete(spark.createDataFrame([("b", 4)], "k string, seqno long")).put(spark.createDataFrame([("c", "z", 5)], "k string, v string, seqno long"))
