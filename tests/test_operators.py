@@ -136,3 +136,28 @@ def test_vectors(spark, sf_dir):
     assert vectors.IndexConfig.for_size(5_000_000, 64).kind == "ivfpq"
     m = vectors.random_projection(64, 32)
     assert len(vectors.project(e, m).first()["projected"]) == 32
+
+
+def test_probes_send_k_rows_a_task(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.standard_normal((600, 8)), 1)
+    x[300:340] = x[0]  # equal vectors: the smaller ids stay
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in rng.permutation(600).tolist()], "vec_id long, embedding array<float>").repartition(3)
+    q = rows.where("vec_id % 100 = 0")
+    x = x.astype(np.float32).astype(float)
+    got = {(r.query_id, r["rank"]): (r.vec_id, round(r.distance, 6)) for r in vectors.knn_join(rows, q, 10).collect()}
+    ivf = vectors.IVF(lists=6, probes=2).fit(rows)
+    probed = {(r.query_id, r["rank"]): r.vec_id for r in ivf.search(ivf.build(rows), q, 10).collect()}
+    own = vectors._distances(x, ivf.centres, "sq_l2").argmin(1)
+    for i in range(0, 600, 100):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        order = sorted(range(600), key=lambda j: (round(d[j], 9), j))
+        assert [got[i, k + 1] for k in range(10)] == [(j, round(d[j], 6)) for j in order[:10]]
+        near = np.argsort(vectors._distances(x[i : i + 1], ivf.centres, "sq_l2")[0])[:2]
+        assert [probed[i, k + 1] for k in range(10)] == [j for j in order if own[j] in near][:10]
+    coded = vectors.IVF(lists=6, probes=2, parts=4, codes=8).fit(rows)
+    plan = coded.search(coded.build(rows), q, 10)._jdf.queryExecution().optimizedPlan().toString()
+    sent = plan.split("MapInPandas")[1].split("\n")[0]
+    assert "Join" not in plan and "vec_id" in sent and plan.count("MapInPandas") == 2  # no vectors and no pairs are shuffled
