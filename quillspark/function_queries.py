@@ -195,11 +195,17 @@ BITS = "(floor(log2(p_partkey + 1))::BIGINT)"
 
 @register(f"SELECT p_partkey, 2 * {BITS} + 1 AS gamma, {BITS} + 2 * floor(log2({BITS} + 1))::BIGINT + 1 AS delta, (p_partkey + 1) // 16 + 5 AS rice, true AS back FROM part")
 def code_lengths(spark, d):
-    """Bits of each key plus one, as these codes start at one."""
-    one = lambda f: codecs.column_codec(lambda v: f([v])[1], "long")
-    both = lambda v: [v] == codecs.gamma_decode(*codecs.gamma_encode([v])) == codecs.delta_code_decode(*codecs.delta_code_encode([v])) == codecs.rice_decode(*codecs.rice_encode([v], 4), 4)
-    k = F.col("p_partkey") + 1
-    return load(spark, d, "part").select("p_partkey", one(codecs.gamma_encode)(k).alias("gamma"), one(codecs.delta_code_encode)(k).alias("delta"), one(lambda v: codecs.rice_encode(v, 4))(k).alias("rice"), codecs.column_codec(both, "boolean")(k).alias("back"))
+    """Bits of each key plus one, as these codes start at one. A code is as long as its key is large, so few rows are much work: they are dealt over all cores."""
+
+    def codes(v):
+        gamma, delta, rice = codecs.gamma_encode([v]), codecs.delta_code_encode([v]), codecs.rice_encode([v], 4)
+        back = [v] == codecs.gamma_decode(*gamma) == codecs.delta_code_decode(*delta) == codecs.rice_decode(*rice, 4)
+        return [gamma[1], delta[1], rice[1], int(back)]
+
+    rows = load(spark, d, "part").select("p_partkey").repartition(4 * spark.sparkContext.defaultParallelism)
+    c = F.col("codes")
+    rows = rows.withColumn("codes", codecs.column_codec(codes, "array<long>")(F.col("p_partkey") + 1))
+    return rows.select("p_partkey", c[0].alias("gamma"), c[1].alias("delta"), c[2].alias("rice"), (c[3] == 1).alias("back"))
 
 
 @register(f"SELECT user_id, len(l) AS n, true AS back FROM {ITEMS}")

@@ -76,3 +76,21 @@ def test_distances(spark):
         want = {"l2": np.linalg.norm(a - b), "sq_l2": ((a - b) ** 2).sum(), "l1": abs(a - b).sum(), "linf": abs(a - b).max(), "ip": -a @ b, "cosine": 1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b), "hamming": ((a > 0) != (b > 0)).sum(), "jaccard": 1 - ((a > 0) & (b > 0)).sum() / ((a > 0) | (b > 0)).sum()}
         for k, v in want.items():
             assert r[k] == pytest.approx(v), k
+
+
+def test_large_quotients_take_bytes_not_digits():
+    import time
+
+    from quillspark.functions import codecs
+
+    values = [5, 1 << 27, 0, 77, (1 << 26) + 3]
+    began = time.process_time()
+    data, n = codecs.rice_encode(values, 4)
+    assert n == sum((v >> 4) + 5 for v in values) and len(data) == -(-n // 8)
+    assert codecs.rice_decode(data, n, 4) == values
+    assert time.process_time() - began < 1  # some ten million ones
+    for k in (0, 3, 9):
+        for values in ([], [0], [7], [8, 8, 16, 1023], list(range(70))):
+            bits = "".join("1" * (v >> k) + "0" + (f"{v & (1 << k) - 1:0{k}b}" if k else "") for v in values)
+            data, n = codecs.rice_encode(values, k)
+            assert n == len(bits) and "".join(f"{b:08b}" for b in data)[:n] == bits and codecs.rice_decode(data, n, k) == values
