@@ -91,10 +91,18 @@ def stream_windowed(stream: DataFrame, spec: WindowSpec, ts: str, value: str, ke
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns the rows it put out (memory sink, for tests and small outputs)."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over what is there and returns the rows it put out. Appended rows go to Parquet below the checkpoint, written by the tasks; those of other
+    modes, which no file sink takes, to the driver's memory (small outputs)."""
+    spark = stream.sparkSession
+    w = stream.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode != "append":
+        w.format("memory").start().awaitTermination()
+        return spark.table(name)
+    out = f"{checkpoint}-rows"
+    w.format("parquet").option("path", out).start().awaitTermination()
+    target = spark._jvm.org.apache.hadoop.fs.Path(out)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)  # a stream without a batch makes none
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def first_seen(stream: DataFrame, keys: list[str], ts: str, delay_s: int) -> DataFrame:

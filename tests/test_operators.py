@@ -108,6 +108,21 @@ def test_windows(spark):
             windows.WindowSpec(*bad)
 
 
+def test_appended_rows_stay_out_of_the_driver(spark, tmp_path):
+    e = spark.createDataFrame([(f"2024-01-0{d} 00:00:0{s}", k, 1.0) for d in (1, 2, 9) for s in (1, 5) for k in "ab"], "ts string, key string, v double").withColumn("ts", F.col("ts").cast("timestamp"))
+    e.write.parquet(str(tmp_path / "in"))
+    e.limit(0).write.parquet(str(tmp_path / "none"))
+    spec = windows.WindowSpec("session", 10, grace_s=60)
+    for folder, rows in (("in", 4), ("none", 0)):
+        stream = windows.stream_windowed(spark.readStream.schema(e.schema).parquet(str(tmp_path / folder)), spec, "ts", "v", ["key"], ["count"])
+        out = windows.run_available(stream, f"appended_{folder}", str(tmp_path / f"state_{folder}"))
+        assert out.columns == ["start", "end", "key", "count"] and [r["count"] for r in out.collect()] == [2] * rows
+        assert "parquet" in out._jdf.queryExecution().executedPlan().toString().lower()
+    (tmp_path / "nothing").mkdir()
+    stream = windows.stream_windowed(spark.readStream.schema(e.schema).parquet(str(tmp_path / "nothing")), spec, "ts", "v", ["key"], ["count"])
+    assert windows.run_available(stream, "appended_nothing", str(tmp_path / "state_nothing")).count() == 0
+
+
 def test_log(spark):
     recs = [("t", 0, i, f"k{i % 100}", "v") for i in range(150)] + [("t", 0, 150, None, "v"), ("t", 0, 151, "k1", None)]
     df = spark.createDataFrame(recs, "topic string, partition int, offset long, key string, value string")
