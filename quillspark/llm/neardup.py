@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.bytesnp import NOT_BLANK, blocks, lower_ascii, shingle_hashes, span_hashes, text_buffer, tidy, words
 from quillspark.llm.components import components
 from quillspark.llm.packed import packed_of, unpack
-from quillspark.session import ready, release, written
+from quillspark.session import discard, ready, release, written
 
 SKETCH = 48
 #: From this similarity on, lists are of neighbouring values.
@@ -235,6 +235,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     members = written(rows.select("id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
     chosen = members.where("n > 0 and id = rep").select("id")
     heads = written(rows.join(chosen, "id", "left_semi").select("id", "n", "sketch"), "heads")
+    discard(rows)
 
     # inverted lists of neighbouring retained values, cut by size
     if percent >= NEIGHBOURS_FROM:
@@ -264,6 +265,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     pivot_comp = pivots.join(comps, pivots.pivot == comps.v, "left").select("value", "pivot", F.coalesce("c", "pivot").alias("pivot_comp"))
     placed = placed.join(pivot_comp, "value").where("id != pivot")
     placed = written(placed.select("value", "pivot", "id", "n", "comp", (F.col("comp") != F.col("pivot_comp")).alias("stray")), "placed")
+    discard(lists)
+    discard(pivots)
     family = written(placed.select("pivot", "id", "comp", "stray").distinct(), "family")
     sizes = family.groupBy("pivot").agg(F.count("*").alias("m"), F.count_if("stray").alias("s")).where("s > 0 and m > 1")
     sizes = written(sizes, "sizes")
@@ -283,6 +286,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         release(spark)
     if more.take(1):
         comps = components(links.unionByName(more))
+    for table in (heads, placed, family, sizes, found):  # the result is read from members and components
+        discard(table)
 
     found = members.join(comps, members.rep == comps.v, "left").select("id", "n", F.coalesce("c", "rep").alias("comp"))
     if repeats:

@@ -944,3 +944,16 @@ def test_quality_with_clashing_columns(spark):
     clash = rows.withColumns({"_lang": F.lit("x"), "_kept": F.lit(False), "_low": F.lit(1), "_n_words": F.lit(0)})
     got = quality.passing(clash)
     assert got.columns == clash.columns and {r.doc_id for r in got.collect()} == {r.doc_id for r in quality.passing(rows).collect()}
+
+
+def test_near_dedup_leaves_no_sketches(spark, monkeypatch):
+    made, gone = [], []
+    keep, drop = neardup.written, neardup.discard
+    monkeypatch.setattr(neardup, "written", lambda df, name="table", **o: made.append(keep(df, name, **o)) or made[-1])
+    monkeypatch.setattr(neardup, "discard", lambda t: (gone.append(t._written_path), drop(t)))
+    texts = [" ".join(f"w{(i // 3) * 50 + j}" for j in range(40 + i % 3)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}  # read after the tables went
+    assert found == {i: i // 3 * 3 for i in range(60)}
+    left = {t._written_path.rsplit("/", 1)[1].split("-")[0] for t in made if t._written_path not in gone}
+    assert not left & {"sketches", "heads", "lists", "placed"} and "members" in left
