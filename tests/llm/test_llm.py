@@ -3,8 +3,11 @@
 import collections
 import hashlib
 import json
+import os
 import random
 import re
+import subprocess
+import sys
 import tracemalloc
 import zlib
 from types import SimpleNamespace
@@ -539,6 +542,48 @@ def test_word_order_counts(spark):
     assert not any(got[1000 + i].kept for i in range(12)) and sum(got[i].kept for i in range(300)) >= 291
 
 
+def test_scoring_holds_little():
+    """Measuring long batches takes memory for a part of them at a time, and gives what each text gives by itself."""
+    rnd = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rnd.integers(0, 5000, 400)) for _ in range(1500)]
+    raw, offsets = bytesnp.text_buffer(pa.array(texts))
+    langs = np.array(["en"] * len(texts), object)
+    own = np.unique(wordgrams.word_hashes(raw, offsets)[0])
+    none = (np.zeros(0, np.int64),) * 3
+    model = {"en": wordgrams.Model(own, none, none, none, np.zeros(32, np.int64), len(own))}
+    assert len(raw) > 2 << 20
+    tracemalloc.start()
+    try:
+        got = quality.measured(raw, offsets, langs, model)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 24 << 20
+    one = quality.measured(*bytesnp.text_buffer(pa.array(texts[77:78])), langs[:1], model)
+    assert all(got[k][77] == pytest.approx(one[k][0]) for k in one)
+
+
+def test_executors_give_heap_back():
+    """After slim() an executor's JVM is smaller than a wide phase left it."""
+    code = """
+import time
+import psutil
+from pyspark.sql import SparkSession
+from quillspark import session
+spark = SparkSession.builder.master("local-cluster[1,2,2048]").config("spark.executor.memory", "2g").config("spark.driver.host", "127.0.0.1").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+rss = lambda: sum(p.memory_info().rss for p in psutil.Process().children(recursive=True) if "CoarseGrainedExecutorBackend" in " ".join(p.cmdline()))
+spark.range(0, 4_000_000, 1, 4).selectExpr("repeat(cast(id as string), 20) as v").groupBy("v").count().selectExpr("max(v)").collect()
+wide = rss()
+session.slim(spark)
+for _ in range(40):  # the collector gives back in the background
+    time.sleep(0.5 * (rss() > wide * 0.7))
+print("RSS", wide >> 20, rss() >> 20)
+"""
+    ran = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=180, env=os.environ | {"PYTHONPATH": bytesnp.__file__.rpartition("/quillspark/")[0], "SPARK_LOCAL_IP": "127.0.0.1"})
+    wide, slim = map(int, ran.stdout.rpartition("RSS")[2].split())
+    assert wide > 400 and slim < 0.75 * wide
+
+
 def test_word_model_of_many_languages(spark, monkeypatch):
     monkeypatch.setattr(quality, "LANGUAGES", 2)
     rows = [(i, f"words of a text {i}" if i < 9 else "", f"l{i % 5}" if i < 9 else "only-empty") for i in range(12)]
