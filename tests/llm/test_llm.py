@@ -600,6 +600,21 @@ def test_many_languages(spark, monkeypatch):
 
 
 # -- passages -----------------------------------------------------------------
+@given(st.lists(st.integers(0, 9), max_size=70), st.integers(1, 9), st.sets(st.integers(0, 69), max_size=6))
+def test_window_minima(values, t, cuts):
+    """The same places as those of the tree, by sliding minima and without a step for each of them."""
+    x, barrier = np.array(values, np.uint64) + np.uint64(1), np.isin(np.arange(len(values)), list(cuts))
+    assert passages.window_minima(x, t, barrier).tolist() == passages.compact_windows(x, t, barrier)[1].tolist()
+
+
+def test_windows_build_no_tree(spark, monkeypatch):
+    """Windows and their surroundings need the minima's places only."""
+    monkeypatch.setattr(passages, "compact_windows", None)
+    line = " ".join(f"w{i}" for i in range(60))
+    got = passages.repeated_passages(frame(spark, [(1, f"a {line} b"), (2, f"c {line} d")])).collect()
+    assert sorted((r.doc_id, r.n_repeated, r.n_later, r.first_doc_id) for r in got) == [(1, 60, 0, 1), (2, 60, 60, 1)]
+
+
 @given(st.lists(st.integers(0, 12), max_size=60), st.integers(1, 9), st.sets(st.integers(0, 59), max_size=6))
 def test_compact_windows(values, t, cuts):
     x = np.array(values, np.uint64) + np.uint64(1)
