@@ -804,6 +804,38 @@ def test_rows_that_agree_in_place_need_no_marks(monkeypatch):
     assert found.other.tolist() == [1, *[0] * 59] and sum(marked) > 0
 
 
+def test_minima_among_places():
+    rnd = np.random.default_rng(8)
+    for high, t in ((40, 5), (1 << 62, 46), (3, 46)):
+        x, barrier = rnd.integers(1, high, 4000).astype(np.uint64), rnd.random(4000) < 0.01
+        every = passages.window_minima(x, t, barrier)
+        assert passages.minima_among(x, t, barrier, np.arange(4000)).tolist() == every.tolist()
+        some = np.sort(rnd.choice(4000, 700, replace=False))
+        assert passages.minima_among(x, t, barrier, some).tolist() == np.intersect1d(every, some).tolist()
+        assert passages.minima_among(x[: t - 1], t, barrier[: t - 1], np.arange(t - 1)).tolist() == []
+
+
+def test_order_of_hashes_that_differ_at_their_end():
+    x = np.array([8, 9, 8, 1 << 60, 0, 9, (1 << 60) + 1, 0], np.uint64)
+    assert passages._in_order(x).tolist() == np.argsort(x, kind="stable").tolist()
+    x = np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64)[np.arange(3000) % 500]
+    assert passages._in_order(x).tolist() == np.argsort(x, kind="stable").tolist()
+
+
+def test_two_rows_need_no_codes(monkeypatch):
+    """Groups of two rows that agree in place, or share too little, are told without numbers for their shingles; those whose words are moved are not."""
+    numbered, codes = [], passages._codes
+    monkeypatch.setattr(passages, "_codes", lambda keyed, *rest: numbered.append(len(keyed)) or codes(keyed, *rest))
+    x = np.arange(1, 8 * 91 + 1, dtype=np.uint64).reshape(8, 91)
+    x[1] = x[0]
+    x[1, [20, 45, 70]] += np.uint64(5000)
+    x[5, 1:] = x[4, :-1]
+    group, ids = np.repeat([1, 2, 3, 4], 2), np.arange(8)
+    found = passages.compare(group, ids, ids, x, 46, 41)
+    assert found.other.tolist() == [1, 0, *[passages._NONE] * 2, 5, 4, *[passages._NONE] * 2] and sum(numbered) == 2
+    assert (found.lo[:2] == 0).all() and (found.hi[:2] == 90).all() and found.later_hi[:2].tolist() == [-1, 90]
+
+
 def test_marks_never_miss():
     rnd = np.random.default_rng(5)
     x = rnd.integers(0, 3000, (40, 91)).astype(np.int32)
